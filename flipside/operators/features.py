@@ -208,11 +208,6 @@ def text_vectors(
     return vector_table(sized, by)
 
 
-def vector_size(vectors: DataFrame) -> int:
-    """Number of features of a table holding one feature set; 0 when train had no terms."""
-    return vectors.agg(F.max("size")).first()[0] or 0
-
-
 def one_hot(documents: DataFrame, column: str = "keyword", missing: str = "__missing__") -> DataFrame:
     """Long one-hot rows ``(id, split, level)``: NULL is a level of its own, and a level train has
     not seen gives the document no row."""

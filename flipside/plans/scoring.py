@@ -7,14 +7,13 @@ aggregation; the logistic scorer fits one pyspark.ml model per variant.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flipside.operators.bayes import mean_log_odds_scores, predict_at, token_log_odds
-from flipside.operators.features import fit_terms, term_frequencies, text_vectors, vector_size
-from flipside.operators.linear import Candidate, LinearModel, fit_linear, in_parallel, predict
+from flipside.operators.features import fit_terms, term_frequencies, text_vectors
+from flipside.operators.linear import Candidate, fit_linear, predict
 from flipside.plans.variants import TextVariant, tokenize_variants
 from flipside.session import materialize
 
@@ -40,27 +39,13 @@ def bayes_scorer(threshold: float = 0.30) -> Scorer:
     return score
 
 
-def fit_variants(
-    vectors: DataFrame, labels: Sequence[str], candidates: Sequence[Candidate], by: str = "variant"
-) -> dict[str, list[LinearModel]]:
-    """Fit the candidates on each feature set. Feature sets run side by side."""
-
-    def fit(label: str) -> list[LinearModel]:
-        own = vectors.filter(F.col(by) == label)
-        return fit_linear(own.filter("split = 'train'"), vector_size(own), candidates)
-
-    return dict(zip(labels, in_parallel([lambda label=label: fit(label) for label in labels])))
-
-
 def logistic_scorer(c: float = 1.0, max_iter: int = 1000) -> Scorer:
     def score(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:
         tf, terms = variant_terms(documents, variants)
         vectors = text_vectors(tf, terms, documents, ["variant"])
-        models = fit_variants(vectors, [v.label for v in variants], [Candidate("lr", c, max_iter=max_iter)])
-        scored = [
-            predict(vectors.filter(F.col("variant") == label), fitted).withColumn("variant", F.lit(label))
-            for label, fitted in models.items()
-        ]
-        return materialize(reduce(DataFrame.unionByName, scored).select(*SCORE_COLUMNS), "scores")
+        candidates = [Candidate("lr", c, max_iter=max_iter)]
+        models = fit_linear(vectors.filter("split = 'train'"), candidates, "variant")
+        scored = predict(vectors, models, "variant").withColumnRenamed("feature_set", "variant")
+        return materialize(scored.select(*SCORE_COLUMNS), "scores")
 
     return score
