@@ -42,7 +42,7 @@ def mean_log_odds_scores(
     without known tokens scores 0.5.
     """
     joined = lookup_join(
-        tf, log_odds, [*by, "term"], terms.select(*by, "term", "n"), F.col("id"), how="left"
+        tf, log_odds, [*by, "term"], terms.select(*by, "term", "n"), F.col("id"), how="left", source=terms
     )
     known = F.when(F.col("log_odds").isNotNull(), F.col("tf"))
     mean = F.sum(F.col("tf") * F.col("log_odds")) / F.nullif(F.sum(known), F.lit(0))

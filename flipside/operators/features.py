@@ -105,7 +105,7 @@ def tfidf(
     document = W.partitionBy(*by, "id")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(document))
     weighted = (
-        lookup_join(tf, idf, [*by, "term"], terms.select(*by, "term", "n"), F.col("id"), how)
+        lookup_join(tf, idf, [*by, "term"], terms.select(*by, "term", "n"), F.col("id"), how, source=terms)
         .withColumn("raw", raw)
         .withColumn("weight", F.col("raw") / norm)
     )

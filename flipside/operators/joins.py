@@ -71,9 +71,14 @@ def lookup_join(
     key_counts: DataFrame,
     spread: Column,
     how: str = "inner",
+    source: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Broadcast ``lookup`` if its measured size allows, else run the salted shuffle join."""
-    if fits_broadcast(lookup, broadcast_bytes):
+    """Broadcast ``lookup`` if its measured size allows, else run the salted shuffle join.
+
+    ``source`` names the written table ``lookup`` is computed from, row by row, and is measured
+    in its place.
+    """
+    if fits_broadcast(lookup if source is None else source, broadcast_bytes):
         return facts.join(F.broadcast(lookup), list(on), how)
     return salted_join(facts, lookup, on, key_counts, spread, how)

@@ -67,24 +67,21 @@ def threshold_counts(
     counted = scores.groupBy(
         *by, F.size(F.filter(grid, lambda t: F.col("score") >= t)).alias("passed")
     ).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    # From here on there are at most len(thresholds) + 1 rows per group.
-    groups = counted.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    steps = groups.select("*", F.posexplode(grid).alias("step", "threshold"))
-    reached = steps.join(
-        counted.select(*by, "passed", "pos", "neg"),
-        [*[steps[c].eqNullSafe(counted[c]) for c in by], F.col("passed") > F.col("step")],
-        "left",
-    )
-    return reached.groupBy(*[steps[c] for c in by], "step", "threshold", "all_pos", "all_neg").agg(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp")
-    ).select(
+    # At most len(thresholds) + 1 bins per group.
+    bins = counted.groupBy(*by).agg(F.collect_list(F.struct("passed", "pos", "neg")).alias("bins"))
+
+    def total(field: str, reached: bool) -> Column:
+        chosen = F.filter("bins", lambda b: (b["passed"] > F.col("position")) == F.lit(reached))
+        return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda n, b: n + b[field])
+
+    return bins.select(*by, "bins", F.posexplode(grid).alias("position", "threshold")).select(
         *by,
-        F.col("step").alias("position"),
+        "position",
         "threshold",
-        "tp",
-        "fp",
-        (F.col("all_pos") - F.col("tp")).alias("fn"),
-        (F.col("all_neg") - F.col("fp")).alias("tn"),
+        total("pos", True).alias("tp"),
+        total("neg", True).alias("fp"),
+        total("pos", False).alias("fn"),
+        total("neg", False).alias("tn"),
     )
 
 

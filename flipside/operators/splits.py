@@ -51,34 +51,43 @@ def _cut_rows(rows: DataFrame, cuts: Sequence[tuple[str, int]]) -> DataFrame:
         bucketed.join(F.broadcast(cut_buckets), ["target", "bucket"])
         .withColumn("at", F.row_number().over(within))
         .filter(F.col("at") == F.col("rank"))
-        .select("target", "split", "pos", "id")
     )
 
 
+@dataclass(frozen=True)
+class SplitRule:
+    """A fitted split: per class and split the last row, as ``(target, split, pos, id)``."""
+
+    seed: int
+    cuts: tuple[tuple[str, int], ...]
+    last_rows: tuple[tuple[int, str, str, int], ...]
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        """Add ``pos`` and ``split``. Every row decides from its own hash: no join, no shuffle."""
+        at = F.struct("pos", "id")
+        split = F.when(F.lit(False), F.lit(""))
+        for name, _ in self.cuts[:-1]:
+            for target, of, pos, row_id in self.last_rows:
+                if of == name:
+                    last = F.struct(F.lit(pos), F.lit(row_id).cast("bigint"))
+                    split = split.when((F.col("target") == target) & (at <= last), F.lit(name))
+        return rows.withColumn("pos", order_key(F.col("id"), self.seed)).withColumn(
+            "split", split.otherwise(F.lit(self.cuts[-1][0]))
+        )
+
+
+def fit_split(rows: DataFrame, seed: int = SEED, cuts: Sequence[tuple[str, int]] = CUTS) -> SplitRule:
+    """Order each class by the md5 of seed and id and find where the given percentages of it,
+    rounded down, end. Reads only ``id`` and ``target``; one row per class and cut comes back."""
+    keyed = rows.select("id", "target", order_key(F.col("id"), seed).alias("pos"))
+    last = _cut_rows(keyed, cuts).select("target", "split", "pos", "id").collect()
+    return SplitRule(seed, tuple(cuts), tuple(tuple(r) for r in last))
+
+
 def stratified_split(
     rows: DataFrame, seed: int = SEED, cuts: Sequence[tuple[str, int]] = CUTS
 ) -> DataFrame:
-    """Add ``pos`` and ``split`` to rows with ``id`` and ``target``.
-
-    Within each class, rows are ordered by the md5 of seed and id and cut at the given
-    percentages, rounded down. A row needs only its own hash and its class's two cut rows, so the
-    rows themselves are not shuffled.
-    """
-    keyed = rows.withColumn("pos", order_key(F.col("id"), seed))
-    at = F.struct("pos", "id")
-    bounds = (
-        _cut_rows(keyed.select("id", "target", "pos"), cuts)
-        .groupBy("target")
-        .agg(*[F.max(F.when(F.col("split") == s, at)).alias(f"last_{s}") for s, _ in cuts[:-1]])
-    )
-    split = F.when(F.lit(False), F.lit(""))
-    for name, _ in cuts[:-1]:
-        split = split.when(at <= F.col(f"last_{name}"), F.lit(name))
-    return (
-        keyed.join(F.broadcast(bounds), "target", "left")
-        .withColumn("split", split.otherwise(F.lit(cuts[-1][0])))
-        .select(*rows.columns, "pos", "split")
-    )
+    return fit_split(rows, seed, cuts).assign(rows)
 
 
 def missing_ids(corpus: DataFrame, splits: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Scorers with one interface: split documents and text variants in, a long score table out.
+"""Scorers with one interface: split documents and text variants in, written scores out.
 
 Scores have the columns ``variant, id, split, y_true, score, y_pred``. The Bayes scorer is pure
-aggregation; the logistic scorer fits one pyspark.ml model per variant.
+aggregation; the logistic scorer fits one linear model per variant. Both also return the fitted
+term statistics.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from flipside.operators.linear import Candidate, fit_linear, predict
 from flipside.plans.variants import TextVariant, tokenize_variants
 from flipside.session import materialize
 
-Scorer = Callable[[DataFrame, Sequence[TextVariant]], DataFrame]
+Scorer = Callable[[DataFrame, Sequence[TextVariant]], tuple[DataFrame, DataFrame]]
 
 SCORE_COLUMNS = ("variant", "id", "split", "y_true", "score", "y_pred")
 
@@ -30,22 +31,21 @@ def variant_terms(documents: DataFrame, variants: Sequence[TextVariant]) -> tupl
 
 
 def bayes_scorer(threshold: float = 0.30) -> Scorer:
-    def score(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:
+    def score(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
         tf, terms = variant_terms(documents, variants)
-        log_odds = materialize(token_log_odds(terms, ["variant"]), "log-odds")
-        scores = mean_log_odds_scores(tf, log_odds, terms, ["variant"])
-        return predict_at(scores, threshold).select(*SCORE_COLUMNS)
+        scores = mean_log_odds_scores(tf, token_log_odds(terms, ["variant"]), terms, ["variant"])
+        return materialize(predict_at(scores, threshold).select(*SCORE_COLUMNS), "scores"), terms
 
     return score
 
 
 def logistic_scorer(c: float = 1.0, max_iter: int = 1000) -> Scorer:
-    def score(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:
+    def score(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
         tf, terms = variant_terms(documents, variants)
         vectors = text_vectors(tf, terms, documents, ["variant"])
         candidates = [Candidate("lr", c, max_iter=max_iter)]
         models = fit_linear(vectors.filter("split = 'train'"), candidates, "variant")
         scored = predict(vectors, models, "variant").withColumnRenamed("feature_set", "variant")
-        return materialize(scored.select(*SCORE_COLUMNS), "scores")
+        return materialize(scored.select(*SCORE_COLUMNS), "scores"), terms
 
     return score

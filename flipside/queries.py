@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +50,18 @@ def query(function: Query) -> Query:
     return function
 
 
+@lru_cache
+def split_rule(spark: SparkSession, folder: str) -> SP.SplitRule:
+    """The fixed split of a fixture folder, fitted once per session."""
+    return SP.fit_split(R.labelled_documents(spark, folder))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return SP.stratified_split(R.labelled_documents(spark, folder))
+    return split_rule(spark, folder).assign(R.labelled_documents(spark, folder))
 
 
 def web_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return SP.stratified_split(R.labelled_web_documents(spark, folder))
+    return split_rule(spark, folder).assign(R.labelled_web_documents(spark, folder))
 
 
 def split_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +90,7 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
-    return bayes_scorer(CUT)(corpus(spark, folder), [BASELINE]).drop("variant")
+    return bayes_scorer(CUT)(corpus(spark, folder), [BASELINE])[0].drop("variant")
 
 
 def shown(column: str) -> Column:
@@ -116,7 +123,7 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """A ledger with two tickets' held-out blocks, cut at 0.30 and 0.25, and the scores."""
-    scored = materialize(scores(spark, folder), "scores")
+    scored = scores(spark, folder)
     path = scratch_path(spark, "ledger")
     for ticket, cut in zip(TICKETS, (0.30, 0.25)):
         L.replace_in_ledger(_block(scored, ticket, cut), path)
@@ -150,7 +157,7 @@ def ledger_drift(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def freeze_summary(spark: SparkSession, folder: str) -> DataFrame:
     variants = [BASELINE, CASE_VARIANT]
-    scored = materialize(bayes_scorer(CUT)(web_corpus(spark, folder), variants), "scores")
+    scored, _ = bayes_scorer(CUT)(web_corpus(spark, folder), variants)
     path = scratch_path(spark, "ledger")
     first = SP.FrozenDecision(TICKETS[0], "bayes", "adopt_plain_default", "fixture", CUT)
     plain = scored.filter(F.col("variant") == BASELINE.label)
@@ -172,13 +179,12 @@ def freeze_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spark, folder).select("id", "target", "pos", "split")
+    return SP.stratified_split(R.labelled_documents(spark, folder)).select("id", "target", "pos", "split")
 
 
 @query
 def split_select(spark: SparkSession, folder: str) -> DataFrame:
-    splits = materialize(split_table(spark, folder), "splits")
-    return SP.select_split(R.labelled_documents(spark, folder), splits, "dev").select(
+    return SP.select_split(R.labelled_documents(spark, folder), split_table(spark, folder), "dev").select(
         "id", "split", "pos", "keyword", "location", "target"
     )
 
@@ -398,7 +404,7 @@ def top_weighted_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lr_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return logistic_scorer()(corpus(spark, folder), [BASELINE])
+    return logistic_scorer()(corpus(spark, folder), [BASELINE])[0]
 
 
 @query
@@ -459,8 +465,8 @@ def best_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _variant_flips(spark: SparkSession, folder: str) -> DataFrame:
-    scored = bayes_scorer(CUT)(web_corpus(spark, folder), NORMALIZATION_VARIANTS)
-    return normalization.against_first(materialize(scored, "scores"), BASELINE.label)
+    scored, _ = bayes_scorer(CUT)(web_corpus(spark, folder), NORMALIZATION_VARIANTS)
+    return normalization.against_first(scored, BASELINE.label)
 
 
 @query
@@ -512,7 +518,7 @@ def param_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def _gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out F1 of every normalization variant against the baseline's dev F1."""
-    scored = materialize(bayes_scorer(CUT)(web_corpus(spark, folder), NORMALIZATION_VARIANTS), "scores")
+    scored, _ = bayes_scorer(CUT)(web_corpus(spark, folder), NORMALIZATION_VARIANTS)
     judged = SP.open_splits(scored, ["dev", "heldout"], diagnostic=True)
     quality_table = M.prf(M.confusion(judged, ["variant", "split"]), ["variant", "split"])
     heldout = quality_table.filter("split = 'heldout'").select(
@@ -587,7 +593,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mislabels(spark: SparkSession, folder: str) -> DataFrame:
     rows = corpus(spark, folder)
-    scored = quality.with_keyword(bayes_scorer(CUT)(rows, [BASELINE]), rows)
+    scored = quality.with_keyword(bayes_scorer(CUT)(rows, [BASELINE])[0], rows)
     return A.likely_mislabels(scored, LOW_SCORE, HIGH_SCORE, 0.20, 0.40, "NB")
 
 
