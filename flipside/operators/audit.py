@@ -36,12 +36,14 @@ def text_groups(corpus: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def label_groups(grouped: DataFrame) -> DataFrame:
-    """Per group of copies: size, label counts, majority label (NULL on a tie) and snippet."""
+    """Per group of copies: size, label counts and majority label (NULL on a tie).
+
+    Only counters are aggregated, so that copies are folded in hash tables before the shuffle.
+    """
     stats = grouped.groupBy("group_key").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("target") == 1).alias("n_pos"),
         F.count_if(F.col("target") == 0).alias("n_neg"),
-        F.min(snippet(F.col("dedup_key"))).alias("snippet"),
     )
     majority = F.when(F.col("n_pos") > F.col("n_neg"), 1).when(F.col("n_pos") < F.col("n_neg"), 0)
     return stats.withColumn("majority_label", majority.cast("int"))
@@ -59,7 +61,7 @@ def duplicate_conflicts(grouped: DataFrame, spelled_out: int = SPELLED_OUT) -> D
     """
     groups = label_groups(grouped)
     members = salted_join(
-        grouped.select("id", "target", "split", "group_key"),
+        grouped.select("id", "target", "split", "group_key", snippet(F.col("dedup_key")).alias("snippet")),
         conflicting(groups),
         ["group_key"],
         groups.select("group_key", "n"),

@@ -29,13 +29,15 @@ def term_frequencies(
 ) -> DataFrame:
     """Rows ``(by..., id, target, split, term, tf)``, counted inside each document's row."""
     carried = [*by, "id", "target", "split"]
-    counted = documents.select(*carried, term_counts(words).alias("counts"))
+    # The outer form: for the inner one Spark derives a filter that counts every document twice.
+    rows = documents.select(*carried, F.inline_outer(term_counts(words)))
     if not keep_empty:
-        return counted.select(*carried, F.inline("counts"))
-    return counted.select(*carried, F.inline_outer("counts")).select(
-        *carried,
-        F.coalesce("term", F.lit(NO_TERM)).alias("term"),
-        F.coalesce("tf", F.lit(0).cast("bigint")).alias("tf"),
+        return rows.filter(F.col("term").isNotNull())
+    return rows.withColumns(
+        {
+            "term": F.coalesce("term", F.lit(NO_TERM)),
+            "tf": F.coalesce("tf", F.lit(0).cast("bigint")),
+        }
     )
 
 

@@ -24,8 +24,8 @@ def measured_bytes(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0]
 
 
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(table) <= limit
+def fits_broadcast(table: DataFrame) -> bool:
+    return measured_bytes(table) <= BROADCAST_BYTES
 
 
 def salted_join(
@@ -72,13 +72,12 @@ def lookup_join(
     spread: Column,
     how: str = "inner",
     source: DataFrame | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Broadcast ``lookup`` if its measured size allows, else run the salted shuffle join.
 
     ``source`` names the written table ``lookup`` is computed from, row by row, and is measured
     in its place.
     """
-    if fits_broadcast(lookup if source is None else source, broadcast_bytes):
+    if fits_broadcast(lookup if source is None else source):
         return facts.join(F.broadcast(lookup), list(on), how)
     return salted_join(facts, lookup, on, key_counts, spread, how)

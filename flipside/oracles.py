@@ -500,7 +500,7 @@ FROM {variant_rows(STEPS)} JOIN quality USING (variant) JOIN changed USING (vari
     + sweep_rows(TOKENIZERS, "default_tokenizer")
     + f""" SELECT CAST(position AS BIGINT) AS position, variant, token_pattern, vocab_size, dev_f1_target_1,
   fixed_fp, fixed_fn, new_fp, new_fn
-FROM (VALUES (0, 'default_tokenizer', '{W}{{2,}}'), (1, 'punct_preserving_tokenizer', '{W}{{2,}}|[!?]')) v(position, variant, token_pattern)
+FROM (VALUES (0, 'default_tokenizer', '{W}{{2,}}+'), (1, 'punct_preserving_tokenizer', '{W}{{2,}}+|[!?]')) v(position, variant, token_pattern)
 JOIN (SELECT variant, count(*) AS vocab_size FROM mass GROUP BY variant) USING (variant)
 JOIN quality USING (variant) JOIN changed USING (variant)""",
     "param_grid": DOCS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.operators.bayes import fit_weighted_bayes, predict_at, weighted_bayes_scores
+from flipside.operators.bayes import fit_weighted_bayes, weighted_bayes_scores
 from flipside.operators.features import fit_terms, idf_table, term_frequencies, text_vectors, tfidf
 from flipside.operators.linear import Candidate, fit_linear, predict
 from flipside.operators.metrics import best_row, confusion, prf, threshold_sweep
@@ -61,12 +61,14 @@ def candidate_quality(scores: DataFrame) -> DataFrame:
 def with_combo(scores: DataFrame, sweep: DataFrame, quality: DataFrame) -> DataFrame:
     """The best strength's scores (found at one half) cut at the best threshold (found at C=1)."""
     best_c = best_row(quality.filter(F.col("group") == "C_sweep"), "dev_f1_target_1").select("label")
+    strengths = F.create_map(*[F.lit(x) for c in C_SWEEP for x in (c.label, c.c)])
     best_t = best_row(sweep, "f1_target_1").select("threshold")
     # Both are single rows.
     chosen = best_c.crossJoin(best_t)
     return (
         scores.join(F.broadcast(chosen), "label")
         .withColumn("y_pred", (F.col("score") >= F.col("threshold")).cast("int"))
+        .withColumn("c", strengths[F.col("label")])
         .withColumn("label", F.format_string("%s+threshold=%s", "label", "threshold"))
     )
 
@@ -103,12 +105,12 @@ def candidate_table(linear: DataFrame, bayes: DataFrame) -> tuple[DataFrame, Dat
     return table.withColumn("beats_combo", F.col("dev_f1_target_1") > F.col("combo_f1")).drop("combo_f1"), combo
 
 
-def freeze_combo(ticket: str, model_name: str, table: DataFrame) -> FrozenDecision:
-    """The decision record of the combination row."""
-    row = table.filter(F.col("group") == "combo").first()
-    c, threshold = row.label.removeprefix("C=").split("+threshold=")
-    reason = f"C={c} and threshold={float(threshold):g} chosen on dev (dev F1={row.dev_f1_target_1:.4f})"
-    return FrozenDecision(ticket, model_name, f"adopt_c{c}_tuned_threshold", reason, float(threshold))
+def freeze_combo(ticket: str, model_name: str, table: DataFrame, combo: DataFrame) -> FrozenDecision:
+    """The decision record of the combination."""
+    chosen = combo.select("c", "threshold").first()
+    f1 = table.filter(F.col("group") == "combo").first().dev_f1_target_1
+    reason = f"C={chosen.c:g} and threshold={chosen.threshold:g} chosen on dev (dev F1={f1:.4f})"
+    return FrozenDecision(ticket, model_name, f"adopt_c{chosen.c:g}_tuned_threshold", reason, chosen.threshold)
 
 
 def best_threshold_predictions(scores: DataFrame) -> DataFrame:
@@ -118,6 +120,3 @@ def best_threshold_predictions(scores: DataFrame) -> DataFrame:
         "y_pred", (F.col("score") >= F.col("threshold")).cast("int")
     )
 
-
-def cut(scores: DataFrame, threshold: float) -> DataFrame:
-    return predict_at(scores, threshold)

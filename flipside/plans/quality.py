@@ -18,7 +18,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
     id, label and split."""
     keys = F.array_distinct(F.transform(F.split("text", "\n"), dedup_key))
     return (
-        documents.select("id", "target", "split", F.explode(keys).alias("dedup_key"))
+        documents.select("id", "target", "split", F.explode_outer(keys).alias("dedup_key"))
         .filter(F.col("dedup_key") != "")
         .transform(lambda lines: text_groups(lines, F.col("dedup_key")))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flipside.functions.surface import SHORTCUT_COLUMNS, shortcut_columns
 from flipside.operators.bayes import majority_floor
 from flipside.operators.features import one_hot, vector_table, with_index
+from flipside.operators.joins import lookup_join
 from flipside.operators.linear import Candidate, LinearModel, fit_linear, predict, top_coefficients
 from flipside.operators.metrics import confusion, f1
 from flipside.operators.splits import open_splits
@@ -73,11 +74,11 @@ def shortcut_vectors(documents: DataFrame, levels: DataFrame, text: DataFrame) -
         ]
     )
     entries = shortcut_features(documents).select(*document, F.inline(numbers)).filter("weight != 0")
-    keyword = (
-        documents.select(*document, F.coalesce("keyword", F.lit("__missing__")).alias("level"))
-        .join(levels.select("level", "idx"), "level")
-        .select(*document, F.lit("keyword").alias("block"), "idx", F.lit(1.0).alias("weight"))
-    )
+    leveled = documents.select(*document, F.coalesce("keyword", F.lit("__missing__")).alias("level"))
+    level_counts = leveled.groupBy("level").agg(F.count("*").alias("n"))
+    keyword = lookup_join(
+        leveled, levels.select("level", "idx"), ["level"], level_counts, F.col("id")
+    ).select(*document, F.lit("keyword").alias("block"), "idx", F.lit(1.0).alias("weight"))
     words = text.select(*document, F.lit("text").alias("block"), F.arrays_zip("indices", "values").alias("e")).select(
         *document, "block", F.inline("e").alias("idx", "weight")
     )

@@ -53,7 +53,7 @@ def tokenize_variants(documents: DataFrame, variants: Sequence[TextVariant]) ->
     per_variant = F.array(
         *[F.struct(F.lit(v.label).alias("variant"), v.words(F.col("text")).alias("words")) for v in variants]
     )
-    return documents.select("id", "target", "split", F.inline(per_variant))
+    return documents.select("id", "target", "split", F.inline_outer(per_variant))
 
 
 def variant_table(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:

@@ -28,7 +28,7 @@ from flipside.plans.variants import (
     STRIP_URLS,
     TOKENIZER_VARIANTS,
 )
-from flipside.session import materialize, scratch_path
+from flipside.session import materialize, scratch_path, spread
 from flipside.sources import corpus as R
 from flipside.sources import ledger as L
 
@@ -69,11 +69,13 @@ def split_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    return spread(rows, rows, "doc_id")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/pages.parquet")
+    rows = spark.read.parquet(f"{folder}/pages.parquet")
+    return spread(rows, rows, "page_id")
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +134,7 @@ def _blocks(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
 
 def _block(scored: DataFrame, ticket: str, cut: float) -> DataFrame:
     frozen = SP.FrozenDecision(ticket, f"bayes_{cut:g}", "fixture", "fixture", cut)
-    return normalization.predictions_block(decision.cut(scored, cut), frozen)
+    return normalization.predictions_block(B.predict_at(scored, cut), frozen)
 
 
 @query
@@ -315,7 +317,8 @@ def surface_contrast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str, words: Column) -> DataFrame:
-    return documents(spark, folder).select("doc_id", F.inline(term_counts(words)))
+    counted = documents(spark, folder).select("doc_id", F.inline_outer(term_counts(words)))
+    return counted.filter(F.col("term").isNotNull())
 
 
 @query
@@ -576,7 +579,7 @@ def candidate_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def freeze_combo(spark: SparkSession, folder: str) -> DataFrame:
     linear, table, combo = _candidates(spark, folder)
-    frozen = decision.freeze_combo("ticket-4-decision", "tfidf_logreg_stripurls_tuned", table)
+    frozen = decision.freeze_combo("ticket-4-decision", "tfidf_logreg_stripurls_tuned", table, combo)
     stored = SP.FrozenDecision(TICKETS[1], "tfidf_logreg_stripurls", "adopt_strip_urls", "fixture")
     baseline = normalization.predictions_block(linear.filter("label = 'C=1'"), stored)
     block = normalization.predictions_block(combo, frozen)

@@ -51,3 +51,15 @@ def materialize(frame: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     path = scratch_path(spark, name)
     frame.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(rows: DataFrame, scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out to all cores by ``keys`` if the scan they come from has fewer partitions.
+
+    Text work is bound by the processor, and a small file may be a single partition. A scan that
+    already keeps the cluster busy is left as it is, so large inputs are never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, *keys)

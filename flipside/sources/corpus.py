@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flipside.session import spread
+
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -94,13 +96,14 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The fixture tables as a corpus: low quality is the positive class."""
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    return labels.join(documents, "doc_id").select(
+    rows = labels.join(documents, "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("keyword"),
         F.col("source").alias("location"),
         "text",
         (1 - F.col("quality")).cast("int").alias("target"),
     )
+    return spread(rows, documents, "id")
 
 
 def labelled_web_documents(spark: SparkSession, folder: str) -> DataFrame:
