@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipside.functions.normalize import dedup_key, snippet
 from flipside.operators.joins import salted_join
 
-AUDIT_COLUMNS = (
-    "id",
-    "issue_type",
-    "evidence",
-    "original_label",
-    "proposed_label",
-    "disposition",
-    "confidence",
+AUDIT_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("issue_type", T.StringType()),
+        T.StructField("evidence", T.StringType()),
+        T.StructField("original_label", T.IntegerType()),
+        T.StructField("proposed_label", T.IntegerType()),
+        T.StructField("disposition", T.StringType()),
+        T.StructField("confidence", T.StringType()),
+    ]
 )
 
 # Groups up to this size spell out their members in the evidence text. In larger groups the text
