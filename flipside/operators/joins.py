@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 # A lookup table is broadcast only if its measured size is below this.
 BROADCAST_BYTES = 64 << 20
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE hot keys however large the data is.
-HOT_SHARE = 4096
+# A key with more rows than this is hot and is cut into pieces of about this many rows.
+TARGET_ROWS = 1 << 17
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -28,6 +27,13 @@ def fits_broadcast(table: DataFrame) -> bool:
     return measured_bytes(table) <= BROADCAST_BYTES
 
 
+def hot_pieces(key_counts: DataFrame, on: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Keys of more than ``target_rows`` rows and the pieces each is cut into."""
+    return key_counts.filter(F.col("n") > target_rows).select(
+        *on, F.ceil(F.col("n") / target_rows).alias("__pieces")
+    )
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -35,28 +41,25 @@ def salted_join(
     key_counts: DataFrame,
     spread: Column,
     how: str = "inner",
-    hot_share: int = HOT_SHARE,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Shuffle join that cuts each hot key into pieces of at most 1/hot_share of the rows.
+    """Shuffle join that cuts each hot key into pieces of about ``target_rows`` rows.
 
     ``key_counts`` holds the ``on`` columns and ``n``, the number of fact rows of each key. Fact
     rows of a hot key pick a piece by hashing ``spread``; the lookup row of that key is repeated
-    once per piece. All pieces together are fewer than 2 * hot_share, which also bounds the
-    broadcast list of hot keys.
+    once per piece. A piece is as large whatever the size of the data, so the list of hot keys
+    grows with it: it is broadcast only if its measured size allows.
     """
     on = list(on)
-    total = key_counts.agg(F.sum("n").alias("__total"))
-    pieces = (
-        key_counts.crossJoin(F.broadcast(total))
-        .filter(F.col("n") * hot_share > F.col("__total"))
-        .select(*on, F.ceil(F.col("n") * hot_share / F.col("__total")).alias("__pieces"))
-    )
+    pieces = hot_pieces(key_counts, on, target_rows)
+    if fits_broadcast(pieces):
+        pieces = F.broadcast(pieces)
     pieces_or_one = F.coalesce("__pieces", F.lit(1))
-    salted_facts = facts.join(F.broadcast(pieces), on, "left").withColumn(
+    salted_facts = facts.join(pieces, on, "left").withColumn(
         "__piece", F.pmod(F.xxhash64(spread), pieces_or_one)
     )
     repeated = (
-        lookup.join(F.broadcast(pieces), on, "left")
+        lookup.join(pieces, on, "left")
         .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces_or_one - 1)))
         .drop("__pieces")
     )
