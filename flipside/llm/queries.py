@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipside.llm import cover_tree, exact_dedup, packing, pattern_grammar, perspective, quadratic, token_grammar
+from flipside.llm import (
+    cover_tree,
+    exact_dedup,
+    ngram_join,
+    packing,
+    pattern_grammar,
+    perspective,
+    ppm,
+    prefix_table,
+    quadratic,
+    token_grammar,
+)
 from flipside.llm.common import fold, read_table
 from flipside.session import scratch_path
 
@@ -31,7 +42,7 @@ def op1_token_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return token_grammar.read_token_shards(spark, path)
 
 
-def in_training(doc_id):
+def in_training(doc_id: Column) -> Column:
     """Rows whose labels may be learned from."""
     return fold(doc_id, 3) != 1
 
@@ -77,3 +88,24 @@ def op9_quadratic_discriminant(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_cover_tree_search(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.top_inner_products(read_table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op2_partial_matching(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_documents(read_table(spark, folder, "documents"), fold(F.col("id"), 10) != 0)
+
+
+@query
+def op3_prefix_table(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_table.encode_and_decode(read_table(spark, folder, "documents"), PIECE_BPE)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"))

@@ -41,14 +41,27 @@ LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
 
-def frequent_pairs(pairs: np.ndarray, min_count: int) -> list[int]:
-    """The most frequent adjacent pairs, at most ``PASS_PAIRS``, ties by symbol numbers."""
-    ordered = np.sort(pairs)
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, len(ordered)))
-    often = counts >= min_count
-    keys, counts = ordered[starts[often]], counts[often]
-    return keys[np.lexsort((keys, -counts))[:PASS_PAIRS]].tolist()
+def frequent_pairs(symbols: np.ndarray, size: int, min_count: int) -> list[int]:
+    """The most frequent adjacent pairs, at most ``PASS_PAIRS``, ties by symbol numbers.
+
+    Only symbols that are frequent themselves are looked at; there are few of them, so that
+    their pairs are usually counted in a table.
+    """
+    often = np.bincount(symbols, minlength=size) >= min_count
+    names, rank = np.flatnonzero(often), np.cumsum(often) - 1
+    both = np.flatnonzero(often[symbols[:-1]] & often[symbols[1:]])
+    codes = rank[symbols[both]] * len(names) + rank[symbols[both + 1]]
+    if len(names) ** 2 <= len(symbols):
+        counts = np.bincount(codes, minlength=len(names) ** 2)
+        found = np.flatnonzero(counts >= min_count)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(codes, return_counts=True)
+        found, counts = found[counts >= min_count], counts[counts >= min_count]
+    if not len(found):
+        return []
+    pairs = (names[found // len(names)] << 32) | names[found % len(names)]
+    return pairs[np.lexsort((pairs, -counts))[:PASS_PAIRS]].tolist()
 
 
 def compatible(ranked: list[int]) -> list[int]:
@@ -71,7 +84,7 @@ def compatible(ranked: list[int]) -> list[int]:
     return chosen
 
 
-def occurrences(symbols: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, size: int):
+def occurrences(symbols: np.ndarray, chosen: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the chosen pairs begin, and the number of the pair there."""
     first, second = (chosen >> HALF).astype(np.int64), (chosen & LOW).astype(np.int64)
     if first[0] == second[0]:
@@ -85,9 +98,10 @@ def occurrences(symbols: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, size
     begins[first] = True
     ends[second] = True
     where = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]])
+    pairs = (symbols[where].astype(np.uint64) << HALF) | symbols[where + 1]
     order = np.argsort(chosen)
-    place = np.minimum(np.searchsorted(chosen[order], pairs[where]), len(chosen) - 1)
-    match = chosen[order][place] == pairs[where]
+    place = np.minimum(np.searchsorted(chosen[order], pairs), len(chosen) - 1)
+    match = chosen[order][place] == pairs
     return where[match], order[place[match]]
 
 
@@ -101,12 +115,11 @@ def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.
     base = int(symbols.max()) + 1 if len(symbols) else 0
     size, rules = base, []
     while len(symbols) > 1:
-        pairs = (symbols[:-1].astype(np.uint64) << HALF) | symbols[1:]
-        ranked = frequent_pairs(pairs, min_count)
+        ranked = frequent_pairs(symbols, size, min_count)
         if not ranked:
             break
         chosen = np.array(compatible(ranked), np.uint64)
-        where, number = occurrences(symbols, pairs, chosen, size)
+        where, number = occurrences(symbols, chosen, size)
         symbols[where] = (size + number).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False

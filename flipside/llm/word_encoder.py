@@ -11,6 +11,14 @@ from functools import lru_cache
 
 from flipside.llm.common import Memo
 
+# Letters U+00C0-U+023F without the two signs among them and without U+0130, which becomes two
+# characters in lower case. None of them changes or combines under NFC.
+LATIN = "\xc0-\xd6\xd8-\xf6\xf8-įı-ȿ"
+OTHER_SCRIPTS = re.compile(f"[^\x00-\x7f{LATIN}]").search
+# The tokenizer's pattern with the letters, digits and spaces that such texts can hold.
+LETTERS = f"a-z{LATIN}"
+PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t-\r 0-9{LETTERS}]+").findall
+
 
 def little_endian(numbers: list[int]) -> bytes:
     packed = array("I", numbers)
@@ -22,20 +30,13 @@ def little_endian(numbers: list[int]) -> bytes:
 class WordEncoder:
     """``encode`` gives what ``Tokenizer.encode(text, add_special_tokens=False).ids`` gives.
 
-    The tokenizer drops white space and no merge, normalization or pattern reaches across it, so
-    a text's ids are those of its white-space separated chunks. Chunks repeat, and the library is
-    asked once for each. Latin letters, with or without ASCII punctuation behind, are one or two
-    words to the tokenizer and go straight to its model. Texts that may contain one of the
-    tokenizer's special tokens are encoded whole.
+    The tokenizer drops white space, and no merge reaches over the pretokens of its pattern, so a
+    text's ids are those of its pretokens, and the library's model is asked once for each distinct
+    one. Texts of ASCII and Latin characters are lower-cased and taken apart here by the same
+    pattern; others by the library's own normalizer and pattern, chunk by chunk, as neither reaches
+    over white space; texts that may contain a special token of the tokenizer are encoded whole.
     """
 
-    # ASCII letters, U+00C0-U+023F but the two signs and U+0130, which becomes two characters.
-    LATIN = re.compile(
-        rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])*"
-    ).fullmatch
-    # An apostrophe may begin one of the endings that the tokenizer's pattern takes apart.
-    PUNCTUATION = string.punctuation.replace("'", "").encode()
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -43,38 +44,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [token.content.encode() for token in added]
-        byte_level = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        latin = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x240)]))
-        letters = string.ascii_letters + latin
-        self.mapped = {letter: "".join(piece for piece, _ in byte_level(letter)) for letter in letters}
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk, 800_000)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one lower-cased and byte-mapped word."""
-        return little_endian([token.id for token in self.model.tokenize(word)])
+        self.special = [token.content for token in added]
+        latin = (chr(code) for code in range(0xC0, 0x240))
+        self.byte_level = {ord(c): self._mapped(c) for c in [*string.printable, *map(chr, range(32)), "\x7f", *latin]}
+        self.words = Memo(lambda word: self._ids(word.translate(self.byte_level)), 300_000)
+        self.chunks = Memo(self._chunk, 100_000)
+
+    def _mapped(self, character: str) -> str:
+        return "".join(piece for piece, _ in self.tokenizer.pre_tokenizer[1].pre_tokenize_str(character))
+
+    def _ids(self, pretoken: str) -> bytes:
+        return little_endian([token.id for token in self.model.tokenize(pretoken)])
 
     def _chunk(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(self.PUNCTUATION)
-        if self.LATIN(core):
-            word = core.decode().lower()
-            if not word.isascii():
-                word = "".join(map(self.mapped.__getitem__, word))
-            tail = chunk[len(core) :].decode()
-            return (self.words[word] if word else b"") + (self.words[tail] if tail else b"")
         normal = self.tokenizer.normalizer.normalize_str(chunk.decode("utf-8", "replace"))
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
-        return b"".join([self.words[piece] for piece, _ in pieces])
+        return b"".join([self._ids(piece) for piece, _ in pieces])
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        if any(token in text for token in self.special):
-            whole = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
-            return little_endian(whole.ids)
-        ids = b"".join(map(self.chunks.__getitem__, text.split()))
-        self.chunks.trim()
+        decoded = text.decode("utf-8", "replace")
+        if any(token in decoded for token in self.special):
+            return little_endian(self.tokenizer.encode(decoded, add_special_tokens=False).ids)
+        if decoded.isascii() or not OTHER_SCRIPTS(decoded):
+            ids = b"".join(map(self.words.__getitem__, PRETOKENS(decoded.lower())))
+        else:
+            ids = b"".join(map(self.chunks.__getitem__, text.split()))
         self.words.trim()
+        self.chunks.trim()
         return ids
 
 
