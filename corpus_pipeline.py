@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipside.llm import exact_dedup, packing, pattern_grammar, quadratic
+from flipside.llm import exact_dedup, ngram_join, packing, pattern_grammar, quadratic
 from flipside.llm.common import fold, read_table
 from flipside.session import materialize
 
@@ -47,6 +47,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, WORD_BPE, end_id=0)
 
@@ -56,6 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality", drop_poor),
     ("exact_copies", drop_copies),
+    ("near_copies", drop_near_copies),
     ("packing", pack),
 ]
 

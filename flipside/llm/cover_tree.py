@@ -83,12 +83,12 @@ def cover_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
         radius = float(distance.max())
         node = [center, radius, 0, 0, 0, len(rows)]
         nodes.append(node)
-        if len(rows) <= leaf_rows or radius == 0:
+        owner = cover(points[rows], radius / 2, int(distance.argmax())) if len(rows) > leaf_rows else None
+        if len(rows) <= leaf_rows or (owner is not None and not owner.any()):  # few points, or one place
             node[4] = placed
             order.append(rows)
             placed += len(rows)
             continue
-        owner = cover(points[rows], radius / 2, int(distance.argmax()))
         if owner is not None:
             parts = [part for number in range(owner.max() + 1) if len(part := rows[owner == number])]
         else:
