@@ -74,7 +74,7 @@ def test_salted_join_splits_hot_keys_and_loses_nothing(spark):
     )
     counts = facts.groupBy("key").agg(F.count("*").alias("n"))
     lookup = counts.filter("key <> 'k7'").withColumn("value", F.length("key"))
-    salted = joins.salted_join(facts, lookup, ["key"], counts, F.col("id"), "left", hot_share=50)
+    salted = joins.salted_join(facts, lookup, ["key"], counts, F.col("id"), "left", target_rows=50)
     plain = facts.join(lookup, "key", "left")
     assert rows_of(salted.select("id", "key", "value").fillna(-1)) == rows_of(
         plain.select("id", "key", "value").fillna(-1)
