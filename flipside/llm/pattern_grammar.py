@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.llm.common import Memo, byte_strings, texts
+from flipside.session import materialize
 
 # Most labelled documents of a class that the lexicon and the curve are fitted on.
 CLASS_ROWS = 10_000
-PREFIXES = range(3, 9)
+PREFIXES = range(4, 9)
 # Least log-likelihood ratio and log odds of a stem.
-EVIDENCE = 12.0
-LEAST_WEIGHT = 1.0
+EVIDENCE = 14.0
+LEAST_WEIGHT = 2.5
 SEED_WEIGHT = 2.0
 
 OTHER, TARGET, NEGATION, REPORT, END, INSULT, THREAT = range(7)
@@ -203,6 +204,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
         )
     )
+    words = materialize(words, "toxic-words")
     pieces = [F.concat("word", F.lit("$"))]
     pieces += [F.when(F.length("word") >= size, F.substring("word", 1, size)) for size in PREFIXES]
     by_stem = (
