@@ -28,11 +28,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return (F.crc32(id_text(doc_id)) % folds).cast("int")
 
 
-def texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, text)`` with null texts empty; every other column, whatever its name, is left out."""
+def texts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: Column) -> DataFrame:
+    """``(id, text)`` with null texts empty, and ``more``; every column of another name is left out."""
     return documents.select(
         F.col(id_column).cast("bigint").alias("id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 

@@ -13,9 +13,10 @@ together. Classes that share such a shingle are compared in tiles:
    the members of the larger one, in tiles, against the members of all smaller ones. Every such
    pair of components is tested whole, until a link between the two is found.
 
-In a tile each set has a parity bitmap of its hashed shingles. The bits in which two bitmaps
-differ bound the sets' difference from below and so their overlap from above; only pairs that pass
-are intersected. Components of the links are found by star contraction. The order of shingles affects
+Each set has a bitmap, about a quarter of a byte per shingle, of the parities of its hashed shingles. The
+bits in which two bitmaps differ bound the sets' difference from below and so their overlap from above.
+Tiles are first compared by bitmaps alone; sets are read only for classes that pass with some
+other one, and only pairs that pass are intersected as sorted arrays. Components of the links are found by star contraction. The order of shingles affects
 cost only, never the result.
 
 Edge cases: a text of fewer words than a shingle is one shingle of all its words; texts without
@@ -43,7 +44,7 @@ WORDS = 5
 PERCENT = 75
 # Classes of one side of a tile.
 TILE = 256
-BITMAP_BITS = 1024
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 # A shingle is common if a batch of documents holds it this often and all documents, together, in
 # more than one of ``COMMON_SHARE``; the list is ordered by frequency and only shapes the order.
 COMMON_IN_BATCH = 8
@@ -55,6 +56,9 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 MIXERS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
+DIGEST_SCHEMA = "kind int, id bigint, n bigint, k1 bigint, k2 bigint, bits binary"
+
+
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts."""
 
@@ -86,7 +90,7 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the size and digest of its set, and the shingles many documents of the batch share."""
+    """Per document the size, digest and bitmap of its set, and the shingles many of the batch share."""
     shingler = Shingler()
     for batch in batches:
         sets = [shingler.shingles(text) for text in byte_strings(batch.column("text"))]
@@ -102,8 +106,9 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.array(np.concatenate([[len(own) for own in sets], counts[common]]).astype(np.int64)),
                 pa.concat_arrays([pa.array(digests[::2]), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([pa.array(digests[1::2]), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array([bitmap(own) for own in sets], pa.binary()), pa.nulls(m, pa.binary())]),
             ],
-            names=["kind", "id", "n", "k1", "k2"],
+            names=["kind", "id", "n", "k1", "k2", "bits"],
         )
 
 
@@ -195,36 +200,94 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(column[keep]) for column in rows], names=list(names))
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles per hashed bit, as 64-bit words."""
-    counts = np.bincount((shingles % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles per hashed bit; a power of two of bits, two or more a shingle."""
+    size = min(max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length() if len(shingles) else 0), MOST_BITS)
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+class Signatures:
+    """Sizes and bitmaps of sets; ``near`` tells which ones of another group may be linked with one.
+
+    Bitmaps of unequal size are compared at the smaller one, to which the larger folds by parity.
+    """
+
+    def __init__(self, sizes: list[int], bits: list[bytes]):
+        self.sizes = np.array(sizes, np.int64)
+        self.levels = np.array([len(found) for found in bits], np.int64)
+        self.place = np.zeros(len(bits), np.int64)
+        self.bitmaps: dict[tuple[int, int], np.ndarray] = {}
+        for level in np.unique(self.levels).tolist():
+            rows = np.flatnonzero(self.levels == level)
+            self.place[rows] = np.arange(len(rows))
+            joined = np.frombuffer(b"".join([bits[row] for row in rows]), np.uint8)
+            self.bitmaps[level, level] = joined.reshape(-1, level).view(np.uint64)
+
+    def folded(self, level: int, to: int) -> np.ndarray:
+        if (level, to) not in self.bitmaps:
+            wider = self.folded(level, 2 * to)
+            half = wider.shape[1] // 2
+            self.bitmaps[level, to] = wider[:, :half] ^ wider[:, half:]
+        return self.bitmaps[level, to]
+
+    def near(self, row: int, others: Signatures, columns: np.ndarray) -> np.ndarray:
+        size, sizes = self.sizes[row], others.sizes[columns]
+        columns = columns[(100 * np.minimum(size, sizes) >= PERCENT * np.maximum(size, sizes)) & (sizes > 0)]
+        own_level, found = int(self.levels[row]), []
+        for level in np.unique(others.levels[columns]).tolist():
+            inside = columns[others.levels[columns] == level]
+            to = min(level, own_level)
+            own = self.folded(own_level, to)[self.place[row]]
+            differ = np.bitwise_count(others.folded(level, to)[others.place[inside]] ^ own).sum(1, dtype=np.int64)
+            both = size + others.sizes[inside]
+            at_most = (both - differ) // 2
+            found.append(inside[100 * at_most >= PERCENT * (both - at_most)])
+        return np.concatenate(found) if found else columns
+
+
+def passing_inside(members: pa.Table) -> pa.Table:
+    """Members whose bitmap passes with another member's."""
+    bitmaps = Signatures(members.column("n").to_pylist(), members.column("bits").to_pylist())
+    every = np.arange(members.num_rows)
+    passed = np.zeros(members.num_rows, bool)
+    for row in range(members.num_rows):
+        near = bitmaps.near(row, bitmaps, every[row + 1 :])
+        passed[near] = True
+        passed[row] |= bool(len(near))
+    return members.select(["lead", "tile", "id"]).filter(pa.array(passed))
+
+
+def passing_between(members: pa.Table) -> pa.Table:
+    """Hosts and visitors whose bitmap passes with one of the other side."""
+    visitor = members.column("visitor").to_numpy()
+    bitmaps = Signatures(members.column("n").to_pylist(), members.column("bits").to_pylist())
+    hosts = np.flatnonzero(visitor < 0)
+    passed = np.zeros(members.num_rows, bool)
+    for row in np.flatnonzero(visitor >= 0).tolist():
+        near = bitmaps.near(row, bitmaps, hosts)
+        passed[near] = True
+        passed[row] = bool(len(near))
+    return members.select(["host", "host_tile", "visitor_tile", "visitor", "id"]).filter(pa.array(passed))
 
 
 class Tile:
-    """Sets with their sizes and bitmaps; ``linked`` tests one against many."""
+    """Sets as sorted arrays; ``linked`` tests one against many."""
 
     def __init__(self, sets: list[bytes]):
         self.sets = [np.frombuffer(found, np.uint64) for found in sets]
-        self.sizes = np.array([len(found) for found in self.sets], np.int64)
-        self.bitmaps = np.stack([bitmap(found) for found in self.sets])
+        self.bitmaps = Signatures([len(found) for found in self.sets], [bitmap(found) for found in self.sets])
 
     def linked(self, one: int, others: np.ndarray) -> np.ndarray:
-        size, sizes = self.sizes[one], self.sizes[others]
-        near = (100 * np.minimum(size, sizes) >= PERCENT * np.maximum(size, sizes)) & (sizes > 0)
-        others, sizes = others[near], sizes[near]
-        differ = np.bitwise_count(self.bitmaps[others] ^ self.bitmaps[one]).sum(1, dtype=np.int64)
-        at_most = (size + sizes - differ) // 2
-        near = 100 * at_most >= PERCENT * (size + sizes - at_most)
-        others, sizes = others[near], sizes[near]
+        others = self.bitmaps.near(one, self.bitmaps, others)
         if not len(others):
             return others
-        own = self.sets[one]
+        own, sizes = self.sets[one], self.bitmaps.sizes[others]
         elements = np.concatenate([self.sets[other] for other in others])
         place = np.minimum(np.searchsorted(own, elements), len(own) - 1)
         owner = np.repeat(np.arange(len(others)), sizes)
         overlap = np.bincount(owner, own[place] == elements, minlength=len(others)).astype(np.int64)
-        return others[100 * overlap >= PERCENT * (size + sizes - overlap)]
+        return others[100 * overlap >= PERCENT * (len(own) + sizes - overlap)]
 
 
 def links_table(pairs: list[tuple[int, int]]) -> pa.Table:
@@ -327,7 +390,7 @@ def candidates(rows: DataFrame, digests: DataFrame, classes: DataFrame, common:
     return materialize(shared.join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("shingle", "id", "n"), "candidates")
 
 
-def links_in_bands(shared: DataFrame, sets: DataFrame) -> DataFrame:
+def links_in_bands(rows: DataFrame, shared: DataFrame, signatures: DataFrame) -> DataFrame:
     """Step 1: links among classes that meet the same smallest class."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
     banded = shared.withColumn("band", band)
@@ -338,11 +401,14 @@ def links_in_bands(shared: DataFrame, sets: DataFrame) -> DataFrame:
     tiled = salted_join(meet, sizes, ["lead"], sizes, F.col("id")).withColumn("tile", tile_of(F.col("n")))
     leads = sizes.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / TILE).cast("int") - 1)))
     tiled = tiled.select("lead", "tile", "id").unionByName(leads.select("lead", "tile", F.col("lead").alias("id")))
-    found = tiled.join(sets, "id").groupBy("lead", "tile").applyInArrow(links_inside, "a bigint, b bigint")
+    passed = tiled.join(signatures, "id").groupBy("lead", "tile").applyInArrow(passing_inside, "lead bigint, tile int, id bigint")
+    passed = materialize(passed, "passed")
+    sets = read_sets(rows, passed.select("id"))
+    found = passed.join(sets, "id").groupBy("lead", "tile").applyInArrow(links_inside, "a bigint, b bigint")
     return materialize(found, "links")
 
 
-def links_across(shared: DataFrame, sets: DataFrame, reached: DataFrame) -> DataFrame:
+def links_across(rows: DataFrame, shared: DataFrame, signatures: DataFrame, reached: DataFrame) -> DataFrame:
     """Step 2: links between components that share a shingle."""
     labelled = shared.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = materialize(labelled, "labelled")
@@ -380,29 +446,35 @@ def links_across(shared: DataFrame, sets: DataFrame, reached: DataFrame) -> Data
         .withColumn("host_tile", to_all("hosts"))
         .select("host", "host_tile", "visitor_tile", "visitor", "id")
     )
-    tiled = hosts.unionByName(visitors).join(sets, "id")
-    found = tiled.groupBy("host", "host_tile", "visitor_tile").applyInArrow(links_between, "a bigint, b bigint")
+    tile = ["host", "host_tile", "visitor_tile"]
+    passed = hosts.unionByName(visitors).join(signatures, "id").groupBy(*tile).applyInArrow(
+        passing_between, "host bigint, host_tile int, visitor_tile int, visitor bigint, id bigint"
+    )
+    passed = materialize(passed, "passed")
+    sets = read_sets(rows, passed.select("id"))
+    found = passed.join(sets, "id").groupBy(*tile).applyInArrow(links_between, "a bigint, b bigint")
     return materialize(found, "links")
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row."""
     rows = texts(documents, id_column, text_column)
-    listed = materialize(rows.mapInArrow(digest_batches, "kind int, id bigint, n bigint, k1 bigint, k2 bigint"), "digests", ("kind",))
+    listed = materialize(rows.mapInArrow(digest_batches, DIGEST_SCHEMA), "digests", ("kind",))
     digests = listed.filter("kind = 0").select("id", "n", "k1", "k2")
     common = listed.filter("kind = 1").select("id", "n")
     classes = digests.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     shared = candidates(rows, digests, classes, common)
-    sets = materialize(read_sets(rows, shared.select("id")), "sets")
-    links = links_in_bands(shared, sets)
+    found = listed.filter("kind = 0").select("id", "n", "bits").join(shared.select("id").distinct(), "id", "left_semi")
+    signatures = materialize(found, "signatures")
+    links = links_in_bands(rows, shared, signatures)
     # Rows that share an id are one node, whatever their sets.
     same_id = digests.filter("n > 0 AND id IS NOT NULL").select("id", "k1", "k2").distinct()
     twins = same_id.join(same_id.groupBy("id").agg(F.count("*").alias("sets")).filter("sets > 1"), "id")
     twins = twins.join(classes.select("k1", "k2", F.col("id").alias("a")), ["k1", "k2"]).select("a", F.col("id").alias("b"))
     links = links.unionByName(twins)
     reached = connected_components(links)
-    across = links_across(shared, sets, reached)
+    across = links_across(rows, shared, signatures, reached)
     if not across.isEmpty():
         reached = connected_components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(across))
     named = classes.join(reached, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))

@@ -11,10 +11,11 @@ occurrences of the byte, ``t`` of all and ``q`` distinct bytes left, a byte has
 The probabilities of all bytes in a context add up to 1.
 
 What a text needs of the model depends only on its distinct sequences of ``ORDER + 1`` bytes (grams).
-Documents are dealt to blocks of bounded size by a hash of their id. Each block lists its grams and
-words with training counts; lists are added up by gram, the trie is built in partitions that hold
-all contexts of equal last two bytes, and each block gets back the code lengths of its own grams.
-Only the contexts of one byte and none, at most 65,792 counts, go through the driver.
+Documents are taken in blocks of bounded size: the pieces that files are read in, cut further by a
+hash of the id. Each block lists its grams and words with training counts as it is read; lists are
+added up by gram, the trie is built in partitions that hold all contexts of equal last two bytes,
+and each block's texts meet the code lengths of the block's own grams. Only the contexts of one byte
+and none, at most 65,792 counts, go through the driver.
 
 Edge cases: a null or empty text is its end alone; a null id is the empty text to the fold; rows that
 share an id are scored each for itself and all learned from; without training rows every byte
@@ -32,19 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import byte_slices, byte_strings, pieces_for, texts, total_bytes
+from flipside.llm.common import byte_slices, byte_strings, pieces_for, texts
 from flipside.session import materialize
 
 ORDER = 5
 END = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 # Positions whose grams are in memory at once.
 WINDOW = 4 << 20
 # Distinct grams per trie partition.
 TRIE_ROWS = 2 << 20
 
 BYTE = np.uint64(8)
-COUNTS_SCHEMA = "kind string, block int, gram bigint, word binary, n bigint"
+COUNTS_SCHEMA = "kind string, block bigint, gram bigint, word binary, n bigint"
 SCORES_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -87,39 +88,73 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
 
 
-def count_block(key: tuple[pa.Scalar, ...], documents: pa.Table) -> pa.Table:
+class BlockCounts:
     """Distinct grams and words of a block with their counts in its training rows; the word of no
     bytes stands for the end."""
-    block = key[0].as_py()
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    words: Counter[bytes] = Counter()
-    for batch in documents.combine_chunks().to_batches():
-        for piece in byte_slices(batch, "text"):
-            training = piece.column("training").to_numpy(zero_copy_only=False)
-            lists = [words_of(text) for text in byte_strings(piece.column("text"))]
-            for own, learned in zip(lists, training.tolist(), strict=True):
-                if learned:
-                    words.update(own)
-                    words[b""] += 1
-                else:
-                    words.update(dict.fromkeys([*own, b""], 0))
-            for grams, owner in Stream(lists).windows():
-                learned = training[owner]
-                for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
-                    found, n = np.unique(chosen, return_counts=True)
-                    keys.append(found)
-                    counts.append(n * weight)
-    grams, n = add_up(np.concatenate(keys), np.concatenate(counts))
-    size, n_words = len(grams), len(words)
-    return pa.table(
-        {
-            "kind": pa.array(["gram"] * size + ["word"] * n_words),
-            "block": pa.array(np.full(size + n_words, block, np.int32)),
-            "gram": pa.concat_arrays([pa.array(grams), pa.nulls(n_words, pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(size, pa.binary()), pa.array(list(words), pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n), pa.array(list(words.values()), pa.int64())]),
-        }
-    )
+
+    def __init__(self):
+        self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: Counter[bytes] = Counter()
+
+    def add(self, lists: list[list[bytes]], training: np.ndarray) -> None:
+        for own, learned in zip(lists, training.tolist(), strict=True):
+            if learned:
+                self.words.update(own)
+                self.words[b""] += 1
+            else:
+                self.words.update(dict.fromkeys([*own, b""], 0))
+        for grams, owner in Stream(lists).windows():
+            learned = training[owner]
+            keys, counts = [self.grams], [self.counts]
+            for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
+                found, n = np.unique(chosen, return_counts=True)
+                keys.append(found)
+                counts.append(n * weight)
+            self.grams, self.counts = add_up(np.concatenate(keys), np.concatenate(counts))
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        n_grams, n_words = len(self.grams), len(self.words)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(["gram"] * n_grams),
+                pa.array(np.full(n_grams, block)),
+                pa.array(self.grams),
+                pa.nulls(n_grams, pa.binary()),
+                pa.array(self.counts),
+            ],
+            names=["kind", "block", "gram", "word", "n"],
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(["word"] * n_words),
+                pa.array(np.full(n_words, block)),
+                pa.nulls(n_words, pa.int64()),
+                pa.array(list(self.words), pa.binary()),
+                pa.array(list(self.words.values()), pa.int64()),
+            ],
+            names=["kind", "block", "gram", "word", "n"],
+        )
+
+
+def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each block as it is read; a block read in parts is listed in parts."""
+    open_blocks: dict[int, BlockCounts] = {}
+    piece_of: int | None = None
+    for batch in batches:
+        for part in byte_slices(batch, "text"):
+            pieces, blocks = (part.column(name).to_numpy() for name in ("piece", "block"))
+            training = part.column("training").to_numpy(zero_copy_only=False)
+            lists = [words_of(text) for text in byte_strings(part.column("text"))]
+            for piece in dict.fromkeys(pieces.tolist()):
+                if piece != piece_of:  # the blocks of the piece before are complete
+                    for block, counts in open_blocks.items():
+                        yield from counts.rows(block)
+                    open_blocks, piece_of = {}, piece
+                for block in np.unique(blocks[pieces == piece]).tolist():
+                    own = np.flatnonzero((pieces == piece) & (blocks == block))
+                    open_blocks.setdefault(block, BlockCounts()).add([lists[place] for place in own], training[own])
+    for block, counts in open_blocks.items():
+        yield from counts.rows(block)
 
 
 class Level:
@@ -203,7 +238,8 @@ def trie_partition(low: list[Level]):
             levels[order].exclude_from(levels[order - 1], order)
         for start in range(0, len(grams), 1 << 18):
             part = grams[start : start + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(code_lengths(part, levels))], names=["gram", "value"])
+            lengths = code_lengths(part, levels).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(lengths)], names=["gram", "value"])
 
     return build
 
@@ -214,9 +250,10 @@ def block_scorer(train_tokens: int, vocabulary: int):
     def score(documents: pa.Table, known: pa.Table) -> pa.Table:
         is_gram = pa.compute.is_valid(known.column("gram"))
         grams, words = known.filter(is_gram), known.filter(pa.compute.invert(is_gram))
-        index = pd.Index(grams.column("gram").to_numpy())
-        lengths = grams.column("value").to_numpy()
-        counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
+        own_grams, first = np.unique(grams.column("gram").to_numpy(), return_index=True)
+        index = pd.Index(own_grams)
+        lengths = grams.column("value").to_numpy()[first].astype(np.float64)
+        counts = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
         columns: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
         for batch in documents.combine_chunks().to_batches():
             for piece in byte_slices(batch, "text"):
@@ -255,34 +292,42 @@ def score_documents(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Code length of every document under a model of the rows that meet ``is_training``, a condition
-    on the column ``id``, beside that of a smoothed word-frequency model."""
-    rows = texts(documents, id_column, text_column)
-    blocks = pieces_for(total_bytes(rows), block_bytes)
+    on the column ``id``, beside that of a smoothed word-frequency model.
+
+    Code lengths per byte are kept in single precision and added up in double.
+    """
+    piece = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    rows = texts(documents, id_column, text_column, piece.alias("piece"))
+    pieces = rows.groupBy("piece").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
+    cuts = pieces_for(pieces.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], block_bytes)
     dealt = rows.select(
-        F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int").alias("block"), "id", "text", is_training.alias("training")
+        "piece",
+        F.xxhash64("piece", F.pmod(F.xxhash64("id", F.length("text")), F.lit(cuts))).alias("block"),
+        "id",
+        "text",
+        is_training.alias("training"),
     )
-    listed = materialize(dealt.groupBy("block").applyInArrow(count_block, COUNTS_SCHEMA), "ppm-counts", ("kind",))
+    listed = materialize(dealt.mapInArrow(count_blocks, COUNTS_SCHEMA), "ppm-counts", ("kind",))
     grams, words = listed.filter("kind = 'gram'"), listed.filter("kind = 'word'")
     counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
     parts = pieces_for(counts.count(), TRIE_ROWS)
     parts = max(parts, rows.sparkSession.sparkContext.defaultParallelism)
     last_two = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    trie = counts.repartition(parts, last_two).mapInArrow(trie_partition(low_levels(counts)), "gram bigint, value double")
-    frequencies = materialize(words.groupBy("word").agg(F.sum("n").cast("double").alias("value")), "ppm-words")
-    train_tokens, vocabulary = frequencies.agg(
-        F.coalesce(F.sum("value"), F.lit(0)).cast("bigint"), F.count_if(F.col("value") > 0)
-    ).first()
-    needed = (
-        grams.select("block", "gram")
-        .join(trie, "gram")
-        .withColumn("word", F.lit(None).cast("binary"))
-        .unionByName(
-            words.select("block", "word").join(frequencies, "word").withColumn("gram", F.lit(None).cast("bigint"))
+    trie = counts.repartition(parts, last_two).mapInArrow(trie_partition(low_levels(counts)), "gram bigint, value float")
+    frequencies = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    train_tokens, vocabulary = frequencies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    known_grams = grams.select("block", "gram").join(trie, "gram")
+    known_words = words.select("block", "word").join(frequencies, "word")
+    needed = known_grams.select(
+        "block", "gram", "value", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("n")
+    ).unionByName(
+        known_words.select(
+            "block", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("float").alias("value"), "word", "n"
         )
-        .select("block", "gram", "word", "value")
     )
     return (
-        dealt.groupBy("block")
+        dealt.select("block", "id", "text", "training")
+        .groupBy("block")
         .cogroup(needed.groupBy("block"))
         .applyInArrow(block_scorer(train_tokens, vocabulary), SCORES_SCHEMA)
     )
