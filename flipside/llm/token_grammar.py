@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import byte_strings, pieces_for, texts, total_bytes
+from flipside.llm.common import byte_slices, byte_strings, pieces_for, texts, total_bytes
 from flipside.llm.word_encoder import little_endian, word_encoder
 
 MAGIC = b"FRP1"
@@ -37,31 +37,48 @@ PASS_PAIRS = 4096
 SHARD_SCHEMA = (
     "part int, shard int, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, payload binary"
 )
-LOW = np.uint64(0xFFFFFFFF)
-HALF = np.uint64(32)
 
 
-def frequent_pairs(symbols: np.ndarray, size: int, min_count: int) -> list[int]:
-    """The most frequent adjacent pairs, at most ``PASS_PAIRS``, ties by symbol numbers.
+class Pairs:
+    """The adjacent pairs of a sequence, coded by the ranks of its frequent symbols.
 
-    Only symbols that are frequent themselves are looked at; there are few of them, so that
-    their pairs are usually counted in a table.
+    There are few frequent symbols, so that their pairs are usually counted and looked up in a
+    table; all rare symbols share the last rank.
     """
-    often = np.bincount(symbols, minlength=size) >= min_count
-    names, rank = np.flatnonzero(often), np.cumsum(often) - 1
-    both = np.flatnonzero(often[symbols[:-1]] & often[symbols[1:]])
-    codes = rank[symbols[both]] * len(names) + rank[symbols[both + 1]]
-    if len(names) ** 2 <= len(symbols):
-        counts = np.bincount(codes, minlength=len(names) ** 2)
-        found = np.flatnonzero(counts >= min_count)
-        counts = counts[found]
-    else:
-        found, counts = np.unique(codes, return_counts=True)
-        found, counts = found[counts >= min_count], counts[counts >= min_count]
-    if not len(found):
-        return []
-    pairs = (names[found // len(names)] << 32) | names[found % len(names)]
-    return pairs[np.lexsort((pairs, -counts))[:PASS_PAIRS]].tolist()
+
+    def __init__(self, symbols: np.ndarray, size: int, min_count: int):
+        self.names = np.flatnonzero(np.bincount(symbols, minlength=size) >= min_count)
+        self.width = len(self.names) + 1
+        rank = np.full(size, len(self.names))
+        rank[self.names] = np.arange(len(self.names))
+        ranks = rank[symbols]
+        self.codes = ranks[:-1] * self.width + ranks[1:]
+        self.dense = self.width**2 <= 4 * len(symbols)
+
+    def frequent(self, min_count: int) -> list[int]:
+        """The most frequent pairs of symbols, at most ``PASS_PAIRS``, ties by symbol numbers."""
+        if self.dense:
+            counts = np.bincount(self.codes, minlength=self.width**2)
+            found = np.flatnonzero(counts >= min_count)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(self.codes, return_counts=True)
+        first, second = found // self.width, found % self.width
+        kept = (counts >= min_count) & (first < len(self.names)) & (second < len(self.names))
+        pairs = (self.names[first[kept]] << 32) | self.names[second[kept]]
+        return pairs[np.lexsort((pairs, -counts[kept]))[:PASS_PAIRS]].tolist()
+
+    def numbers(self, chosen: np.ndarray) -> np.ndarray:
+        """For each place the number of the chosen pair that begins there, or -1."""
+        first, second = (np.searchsorted(self.names, part) for part in (chosen >> 32, chosen & 0xFFFFFFFF))
+        codes = first * self.width + second
+        if self.dense:
+            table = np.full(self.width**2, -1, np.int32)
+            table[codes] = np.arange(len(codes))
+            return table[self.codes]
+        order = np.argsort(codes)
+        place = np.minimum(np.searchsorted(codes[order], self.codes), len(codes) - 1)
+        return np.where(codes[order][place] == self.codes, order[place], -1)
 
 
 def compatible(ranked: list[int]) -> list[int]:
@@ -84,25 +101,11 @@ def compatible(ranked: list[int]) -> list[int]:
     return chosen
 
 
-def occurrences(symbols: np.ndarray, chosen: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the chosen pairs begin, and the number of the pair there."""
-    first, second = (chosen >> HALF).astype(np.int64), (chosen & LOW).astype(np.int64)
-    if first[0] == second[0]:
-        inside = np.flatnonzero(symbols == first[0])
-        new_run = np.concatenate(([True], np.diff(inside) > 1))
-        run_start = inside[np.maximum.accumulate(np.where(new_run, np.arange(len(inside)), 0))]
-        runs_on = np.concatenate((np.diff(inside) == 1, [False]))
-        where = inside[((inside - run_start) % 2 == 0) & runs_on]
-        return where, np.zeros(len(where), np.int64)
-    begins, ends = np.zeros(size, bool), np.zeros(size, bool)
-    begins[first] = True
-    ends[second] = True
-    where = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]])
-    pairs = (symbols[where].astype(np.uint64) << HALF) | symbols[where + 1]
-    order = np.argsort(chosen)
-    place = np.minimum(np.searchsorted(chosen[order], pairs), len(chosen) - 1)
-    match = chosen[order][place] == pairs
-    return where[match], order[place[match]]
+def disjoint(where: np.ndarray) -> np.ndarray:
+    """Of the places of a pair of equal symbols, every other one of each run."""
+    new_run = np.concatenate(([True], np.diff(where) > 1))
+    run_start = where[np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))]
+    return where[(where - run_start) % 2 == 0]
 
 
 def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray]:
@@ -111,22 +114,26 @@ def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.
     Returns the first nonterminal, the rules as an array of symbol pairs (rule ``i`` makes symbol
     ``base + i`` and uses only smaller symbols), and the sequence left over.
     """
-    symbols = ids.astype(np.uint32)
+    symbols = ids.astype(np.int64)
     base = int(symbols.max()) + 1 if len(symbols) else 0
     size, rules = base, []
     while len(symbols) > 1:
-        ranked = frequent_pairs(symbols, size, min_count)
+        pairs = Pairs(symbols, size, min_count)
+        ranked = pairs.frequent(min_count)
         if not ranked:
             break
-        chosen = np.array(compatible(ranked), np.uint64)
-        where, number = occurrences(symbols, chosen, size)
-        symbols[where] = (size + number).astype(np.uint32)
+        chosen = np.array(compatible(ranked), np.int64)
+        numbers = pairs.numbers(chosen)
+        where = np.flatnonzero(numbers >= 0)
+        if chosen[0] >> 32 == chosen[0] & 0xFFFFFFFF:
+            where = disjoint(where)
+        symbols[where] = size + numbers[where]
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         symbols = symbols[keep]
-        rules.append(np.stack([chosen >> HALF, chosen & LOW], 1).astype(np.uint32))
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1).astype(np.uint32))
         size += len(chosen)
-    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols
+    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols.astype(np.uint32)
 
 
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None], min_count: int) -> bytes:
@@ -223,8 +230,8 @@ def shard_writer(tokenizer: str, end_id: int, shard_tokens: int, min_count: int)
             }
             return pa.RecordBatch.from_pylist([row], SHARD_ARROW)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), byte_strings(batch.column("text")), strict=True):
+        for piece in (piece for batch in batches for piece in byte_slices(batch, "text")):
+            for doc_id, text in zip(piece.column("id").to_pylist(), byte_strings(piece.column("text")), strict=True):
                 held.append(encoder.encode(text) + end)
                 doc_ids.append(doc_id)
                 n_tokens += len(held[-1]) // 4
