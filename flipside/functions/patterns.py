@@ -26,18 +26,12 @@ LETTER = r"\p{L}"
 # circled, squared and negative circled and squared letters).
 UPPER = r"[\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]"
 
-# The code point ranges that count as emoji.
-EMOJI_RANGES = (
-    ("1F300", "1F5FF"),  # symbols and pictographs
-    ("1F600", "1F64F"),  # emoticons
-    ("1F680", "1F6FF"),  # transport and map
-    ("1F1E0", "1F1FF"),  # regional indicators
-    ("1F900", "1F9FF"),  # supplemental symbols and pictographs
-    ("1FA70", "1FAFF"),  # symbols and pictographs extended-A
-    ("2600", "26FF"),  # miscellaneous symbols
-    ("2700", "27BF"),  # dingbats
+# The code points that count as emoji, in eight ranges (pictographs, emoticons,
+# transport, regional indicators, two blocks of supplements, symbols, dingbats).
+EMOJI = (
+    r"[\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
+    r"\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]+"
 )
-EMOJI = "[" + "".join(rf"\x{{{low}}}-\x{{{high}}}" for low, high in EMOJI_RANGES) + "]+"
 
 # A token is a run of two or more word characters; the second form also keeps each ! and ?.
 TOKEN = f"{WORD}{{2,}}+"

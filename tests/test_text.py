@@ -2,6 +2,7 @@
 
 import html
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from flipside.functions import normalize as N
 from flipside.functions import patterns as P
 from flipside.functions import surface as S
+from flipside.functions.references import unescape
 from flipside.functions.terms import term_counts, tokens, with_bigrams
 
-EMOJI = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in P.EMOJI_RANGES) + "]+")
+EMOJI = re.compile(re.sub(r"\\x\{(\w+)\}", lambda code: chr(int(code[1], 16)), P.EMOJI))
 
 STRINGS = [
     "",
@@ -39,25 +41,64 @@ def column(rows, expression):
     return [r.v for r in rows.select("id", expression.alias("v")).orderBy("id").collect()]
 
 
-def plain_normalize(text, steps):
-    if not steps:
-        return text
-    run = {
-        "unescape_html": html.unescape,
-        "strip_urls": lambda t: re.sub(r"https?://\S+|www\.\S+", " ", t),
-        "strip_mentions": lambda t: re.sub(r"@\w+", " ", t),
-        "strip_hashtag_symbol": lambda t: re.sub(r"#(\w+)", r"\1", t),
-        "strip_emoji": lambda t: EMOJI.sub(" ", t),
-    }
-    for step in N.STEP_ORDER:
-        if step in steps:
-            text = run[step](text)
-    return re.sub(r"\s+", " ", text).strip()
-
-
-@pytest.mark.parametrize("steps", [(), *[(s,) for s in N.STEP_ORDER], N.STEP_ORDER, N.STEP_ORDER[::-1]])
-def test_normalize_matches_python(rows, steps):
-    assert column(rows, N.normalize(F.col("text"), *steps)) == [plain_normalize(t, steps) for t in STRINGS]
+# What each step makes of a text, written out by hand.
+EXPECTED = {
+    "unescape_html": {
+        "a@b.com wrote @bob_1 and @": "a@b.com wrote @bob_1 and @",
+        "&#64;bob &amp;amp; &quot;x&quot; &notanentity; &copy2 &#x1F600; AT&T": '@bob &amp; "x" ¬anentity; ©2 \U0001f600 AT&T',
+    },
+    "strip_urls": {
+        STRINGS[5]: "HTTP://X http b x www. end",
+        "a # b ## #tag#tag2 foo#bar #é #_": "a # b ## #tag#tag2 foo#bar #é #_",
+    },
+    "strip_mentions": {
+        "a@b.com wrote @bob_1 and @": "a .com wrote and @",
+        "&#64;bob &amp;amp; &quot;x&quot; &notanentity; &copy2 &#x1F600; AT&T": (
+            "&#64;bob &amp;amp; &quot;x&quot; &notanentity; &copy2 &#x1F600; AT&T"
+        ),
+    },
+    "strip_hashtag_symbol": {"a # b ## #tag#tag2 foo#bar #é #_": "a # b ## tagtag2 foobar é _"},
+    "strip_emoji": {"\U0001f600\U0001f680 ok ☀❤ \U0001f1e9\U0001f1ea fin ❶❷": "ok fin"},
+}
+ALL_STEPS = {
+    "&#64;bob &amp;amp; &quot;x&quot; &notanentity; &copy2 &#x1F600; AT&T": '&amp; "x" ¬anentity; ©2 AT&T',
+    STRINGS[5]: "HTTP://X http b x www. end",
+    "tabs\tand\nlines\r\n\x0b\x1c\x85 nbsp\u00a0\u2028x\u3000": "tabs and lines nbsp x",
+    "a # b ## #tag#tag2 foo#bar #é #_": "a # b ## tagtag2 foobar é _",
+    "   ": "",
+}
+
+
+@pytest.mark.parametrize("step", N.STEP_ORDER)
+def test_each_step(rows, step):
+    found = dict(zip(STRINGS, column(rows, N.normalize(F.col("text"), step)), strict=True))
+    assert {text: found[text] for text in EXPECTED[step]} == EXPECTED[step]
+
+
+@pytest.mark.parametrize("steps", [N.STEP_ORDER, N.STEP_ORDER[::-1]])
+def test_all_steps_in_any_order(rows, steps):
+    found = dict(zip(STRINGS, column(rows, N.normalize(F.col("text"), *steps)), strict=True))
+    assert {text: found[text] for text in ALL_STEPS} == ALL_STEPS
+
+
+REFERENCES = [
+    "&#0;|&#x0;|&#13;|&#128;|&#x80;|&#129;|&#159;|&#55296;|&#xDFFF;|&#1114111;|&#1114112;|&#99999999999999;|&#00000065;",
+    "&#1;|&#11;|&#12;|&#31;|&#127;|&#64976;|&#65534;|&#x1FFFF;|&#X41|&#65|&#x;|&#;|&#xZZ;|&;|& a|&",
+    "&lt|&ltx;|&LT;|&amp|&ampamp;|&notit;|&notin;|&notin|&copy2|&frac12x|&NotEqualTilde;|&fjlig;|&hellip|&hellip;",
+    "&amp;lt;|&amp;amp;amp;|&&amp;&|&thisnameislongerthananyofthenamesinthetable;|&nbsp;|&Aacute&aacute;",
+    "no reference at all", "", "\U0001f600&#x1F600;&copy;\u00e9",
+]
+
+
+def test_references_match_the_standard_library(spark):
+    frame = spark.createDataFrame(list(enumerate(REFERENCES)), "id int, text string")
+    assert column(frame, unescape(F.col("text"))) == [html.unescape(text) for text in REFERENCES]
+
+
+def test_every_name_is_decoded(spark):
+    names = sorted(html5)
+    frame = spark.createDataFrame([(i, f"a&{name} &{name}=") for i, name in enumerate(names)], "id int, text string")
+    assert column(frame, unescape(F.col("text"))) == [html.unescape(f"a&{name} &{name}=") for name in names]
 
 
 def test_no_step_is_the_same_column():
