@@ -19,7 +19,7 @@ SGD_ALPHA = 1e-4
 
 C_SWEEP = tuple(Candidate(f"C={c:g}", c) for c in C_VALUES)
 BALANCED = Candidate("class_weight=balanced", balanced=True)
-LINEAR_SVC = Candidate("LinearSVC", loss="squared_hinge")
+LINEAR_SVC = Candidate("LinearSVC", loss="hinge")
 # The objective that stochastic descent approaches, solved to the end.
 SGD_LOGISTIC = Candidate("SGDClassifier(log_loss)", alpha=SGD_ALPHA)
 NAIVE_BAYES = "MultinomialNB"
