@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from flipside.queries import QUERIES
@@ -45,6 +46,8 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     seconds = {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
         for _ in range(2):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flipside.functions.normalize import dedup_key, snippet
-from flipside.operators.joins import salted_join
+from flipside.operators.joins import fits_broadcast, salted_join
+from flipside.session import materialize
 
 AUDIT_SCHEMA = T.StructType(
     [
@@ -22,11 +22,6 @@ AUDIT_SCHEMA = T.StructType(
     ]
 )
 
-# Groups up to this size spell out their members in the evidence text. In larger groups the text
-# names the group by its digest and counts; their members are the audit rows with that evidence.
-SPELLED_OUT = 1000
-
-
 def text_groups(corpus: DataFrame, key: Column | None = None) -> DataFrame:
     """Corpus rows with the dedup key of their text and its digest ``group_key``.
 
@@ -56,41 +51,39 @@ def conflicting(groups: DataFrame) -> DataFrame:
     return groups.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
 
 
-def duplicate_conflicts(grouped: DataFrame, spelled_out: int = SPELLED_OUT) -> DataFrame:
-    """An audit record for every row of every group of copies whose labels disagree.
+def conflict_members(grouped: DataFrame) -> DataFrame:
+    """The rows of all groups of copies whose labels disagree, with their group's counts.
 
-    ``grouped`` holds ``id, target, split, dedup_key, group_key``. A held-out row is only flagged;
-    a tied group is ambiguous; any other row is to be fixed to its group's majority.
+    ``grouped`` holds ``id, target, split, dedup_key, group_key``. It is written once, narrowed to
+    what the findings show, and then read for the counts and for the rows. Few groups conflict, so
+    only their counts are joined back.
     """
-    groups = label_groups(grouped)
-    members = salted_join(
-        grouped.select("id", "target", "split", "group_key", snippet(F.col("dedup_key")).alias("snippet")),
-        conflicting(groups),
-        ["group_key"],
-        groups.select("group_key", "n"),
-        F.col("id"),
-    )
-    # Rows of a large group get a window of their own, so no window holds more than spelled_out.
-    small = F.col("n") <= spelled_out
-    listed = W.partitionBy("group_key", F.when(~small, F.col("id")))
-    in_id_order = F.sort_array(F.collect_list(F.struct("id", "target")).over(listed))
+    narrow = grouped.select("id", "target", "split", "group_key", snippet(F.col("dedup_key")).alias("snippet"))
+    narrow = materialize(narrow, "text-groups")
+    groups = materialize(conflicting(label_groups(narrow)), "conflicts")
+    key = ["group_key"]
+    if fits_broadcast(groups):
+        return narrow.join(F.broadcast(groups), key)
+    return salted_join(narrow, groups, key, groups.select("group_key", "n"), F.col("id"))
 
-    def joined(field: str) -> Column:
-        return F.array_join(F.transform(F.col("members"), lambda m: m[field].cast("string")), ", ")
 
-    spelled = F.format_string(
-        "dup group ids=[%s] labels=[%s] text='%s'", joined("id"), joined("target"), F.col("snippet")
-    )
-    counted = F.format_string(
+def duplicate_conflicts(members: DataFrame) -> DataFrame:
+    """An audit record for every row of ``conflict_members``.
+
+    The evidence names the group by its digest and gives its counts; ``group_members`` lists who is
+    in it. A held-out row is only flagged; a tied group is ambiguous; any other row is to be fixed
+    to its group's majority.
+    """
+    evidence = F.format_string(
         "dup group key=%s rows=%d positives=%d text='%s'",
         F.hex("group_key"), F.col("n"), F.col("n_pos"), F.col("snippet"),
     )
     tie = F.col("majority_label").isNull()
     heldout = F.col("split") == "heldout"
-    return members.withColumn("members", in_id_order).select(
+    return members.select(
         "id",
         F.lit("duplicate_label_conflict").alias("issue_type"),
-        F.when(small, spelled).otherwise(counted).alias("evidence"),
+        evidence.alias("evidence"),
         F.col("target").alias("original_label"),
         F.when(~heldout, F.col("majority_label")).alias("proposed_label"),
         F.when(heldout, "keep_but_flag").when(tie, "ambiguous").otherwise("fix").alias("disposition"),
@@ -98,6 +91,11 @@ def duplicate_conflicts(grouped: DataFrame, spelled_out: int = SPELLED_OUT) -> D
     )
 
 
+def group_members(members: DataFrame) -> DataFrame:
+    """Who is in each conflicting group: one row ``(group_key, id, label)`` per member."""
+    return members.select(F.hex("group_key").alias("group_key"), "id", F.col("target").alias("label"))
+
+
 def error_floor(grouped: DataFrame) -> DataFrame:
     """Errors no deterministic model can avoid: rows outside their group's larger label."""
     return conflicting(label_groups(grouped)).agg(
@@ -147,7 +145,7 @@ def audit_table(*findings: DataFrame) -> DataFrame:
     table = findings[0]
     for more in findings[1:]:
         table = table.unionByName(more)
-    return table.orderBy("issue_type", "id")
+    return table
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
@@ -159,10 +157,15 @@ def review_overlay(audit: DataFrame, reviews: DataFrame, rename_rejects: bool =
 
     Verdicts are fix, ambiguous and reject_false_positive; only a fix proposes ``new_label``.
     ``rename_rejects`` also shows a reject under its own issue type, as the published table does.
+    An id may have one verdict only; ``require_reviews_match`` names those that have more.
     """
     detector = F.col("issue_type") == "likely_mislabel"
     verdict = F.when(detector, F.col("verdict"))
-    joined = audit.join(reviews.select("id", "verdict", "new_label"), "id", "left")
+    one_each = F.when(F.count("*") > 1, F.raise_error(F.lit("more than one verdict for an id")))
+    verdicts = reviews.groupBy("id").agg(
+        F.coalesce(one_each.cast("string"), F.max("verdict")).alias("verdict"), F.max("new_label").alias("new_label")
+    )
+    joined = audit.join(verdicts, "id", "left")
     renamed = F.when(verdict == "reject_false_positive", verdict).otherwise(F.col("issue_type"))
     return joined.select(
         "id",
@@ -186,6 +189,9 @@ def review_coverage(audit: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def require_reviews_match(audit: DataFrame, reviews: DataFrame) -> None:
+    twice = reviews.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"more than one verdict for ids such as {[r.id for r in twice]}")
     lost = review_coverage(audit, reviews).filter(F.col("problem") == "no_such_finding").limit(5).collect()
     if lost:
         raise ValueError(f"reviewed ids without a finding, such as {[r.id for r in lost]}")

@@ -17,20 +17,21 @@ from flipside.functions.terms import let, term_counts
 from flipside.operators.joins import lookup_join
 from flipside.session import materialize
 
-INDEX_BUCKETS = 1024
+# Keys that are sorted in one task when a vocabulary is numbered.
+BUCKET_KEYS = 1 << 16
 
 # Stands for "no term" so that a document without tokens keeps a row; tokens have at least one
 # character, so it cannot collide with one.
 NO_TERM = ""
 
 
-def term_frequencies(
-    documents: DataFrame, words: Column, by: Sequence[str] = (), keep_empty: bool = False
+def counted_terms(
+    documents: DataFrame, counts: Column, by: Sequence[str] = (), keep_empty: bool = False
 ) -> DataFrame:
-    """Rows ``(by..., id, target, split, term, tf)``, counted inside each document's row."""
+    """Rows ``(by..., id, target, split, term, tf)`` from each document's array of counts."""
     carried = [*by, "id", "target", "split"]
     # The outer form: for the inner one Spark derives a filter that counts every document twice.
-    rows = documents.select(*carried, F.inline_outer(term_counts(words)))
+    rows = documents.select(*carried, F.inline_outer(counts))
     if not keep_empty:
         return rows.filter(F.col("term").isNotNull())
     return rows.withColumns(
@@ -41,6 +42,13 @@ def term_frequencies(
     )
 
 
+def term_frequencies(
+    documents: DataFrame, words: Column, by: Sequence[str] = (), keep_empty: bool = False
+) -> DataFrame:
+    """The same from each document's words, counted inside its row."""
+    return counted_terms(documents, term_counts(words), by, keep_empty)
+
+
 def term_statistics(tf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per term: ``n`` rows over all splits, and from train only the document frequency ``df``
     and the token counts of each class.
@@ -117,10 +125,12 @@ def tfidf(
 def with_index(rows: DataFrame, by: Sequence[str] = (), key: str = "term") -> DataFrame:
     """Number the keys of each feature set 0..n-1 as ``idx``, and give the count ``size``.
 
-    Keys are hashed into buckets, bucket sizes are summed up (at most INDEX_BUCKETS rows per
-    feature set), and only a bucket at a time is sorted.
+    Keys are hashed into buckets of about BUCKET_KEYS, bucket sizes are summed up, and only a bucket
+    at a time is sorted.
     """
-    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(INDEX_BUCKETS)))
+    rows = materialize(rows, "keys")
+    buckets = -(-rows.count() // BUCKET_KEYS) or 1
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
     running = W.partitionBy(*by).orderBy("bucket") if by else W.partitionBy(F.lit(0)).orderBy("bucket")
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     offsets = (
@@ -213,11 +223,8 @@ def text_vectors(
 def one_hot(documents: DataFrame, column: str = "keyword", missing: str = "__missing__") -> DataFrame:
     """Long one-hot rows ``(id, split, level)``: NULL is a level of its own, and a level train has
     not seen gives the document no row."""
-    levels = (
-        documents.filter(F.col("split") == "train")
-        .groupBy(F.coalesce(column, F.lit(missing)).alias("level"))
-        .agg(F.count("*").alias("n_train"))
-    )
+    levels = documents.filter(F.col("split") == "train").select(F.coalesce(column, F.lit(missing)).alias("level"))
+    levels = materialize(levels.distinct(), "levels")
     rows = documents.select("id", "split", F.coalesce(column, F.lit(missing)).alias("level"))
     counts = rows.groupBy("level").agg(F.count("*").alias("n"))
-    return lookup_join(rows, levels.select("level"), ["level"], counts, F.col("id"))
+    return lookup_join(rows, levels, ["level"], counts, F.col("id"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SEED = 3102
 CUTS = (("train", 60), ("dev", 80), ("heldout", 100))
 
-BUCKET_DIGITS = 4
+# Rows that are ranked in one task to find a cut.
+BUCKET_ROWS = 1 << 16
 
 
 class SplitError(ValueError):
@@ -27,10 +28,14 @@ def order_key(id_column: Column, seed: int = SEED) -> Column:
 def _cut_rows(rows: DataFrame, cuts: Sequence[tuple[str, int]]) -> DataFrame:
     """The last row of each split but the final one: ``(target, split, pos, id)``.
 
-    Rows are counted per class and leading hash digits first. Only buckets that hold a cut are
-    ranked row by row, about 1/65,536 of a class each, so no class is ever sorted in one task.
+    Rows are counted per class and leading hash digits first, with as many digits as make buckets
+    of at most about BUCKET_ROWS. Only buckets that hold a cut are ranked row by row, so no class
+    is ever sorted in one task.
     """
-    bucketed = rows.withColumn("bucket", F.substring("pos", 1, BUCKET_DIGITS))
+    n, digits = rows.count(), 1
+    while 16**digits * BUCKET_ROWS < n:
+        digits += 1
+    bucketed = rows.withColumn("bucket", F.substring("pos", 1, digits))
     by_class = W.partitionBy("target")
     buckets = (
         bucketed.groupBy("target", "bucket")

@@ -186,15 +186,12 @@ lines AS (
 ),
 conflicts AS (
   SELECT k, count(*) AS n, count(*) FILTER (WHERE target = 1) AS n_pos, count(*) FILTER (WHERE target = 0) AS n_neg,
-         'dup group ids=[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) || '] labels=['
-           || string_agg(CAST(target AS VARCHAR), ', ' ORDER BY id) || '] text=''' || substr(k, 1, 80)
-           || CASE WHEN length(k) > 80 THEN '...' ELSE '' END || '''' AS spelled,
          'dup group key=' || upper(sha256(k)) || ' rows=' || count(*) || ' positives=' || count(*) FILTER (WHERE target = 1)
-           || ' text=''' || substr(k, 1, 80) || CASE WHEN length(k) > 80 THEN '...' ELSE '' END || '''' AS counted
+           || ' text=''' || substr(k, 1, 80) || CASE WHEN length(k) > 80 THEN '...' ELSE '' END || '''' AS evidence
   FROM lines WHERE k <> '' GROUP BY k HAVING min(target) <> max(target)
 ),
 dups AS (
-  SELECT l.id, 'duplicate_label_conflict' AS issue_type, CASE WHEN n <= 1000 THEN spelled ELSE counted END AS evidence,
+  SELECT l.id, 'duplicate_label_conflict' AS issue_type, evidence,
          l.target AS original_label,
          CASE WHEN l.split = 'heldout' OR n_pos = n_neg THEN NULL ELSE CAST(n_pos > n_neg AS INTEGER) END AS proposed_label,
          CASE WHEN l.split = 'heldout' THEN 'keep_but_flag' WHEN n_pos = n_neg THEN 'ambiguous' ELSE 'fix' END AS disposition,
@@ -527,10 +524,19 @@ SELECT CAST(position AS BIGINT) AS position, CAST(min_df AS BIGINT) AS min_df, s
 FROM grid""",
     "contract_gap": GAPS
     + " SELECT label, heldout_f1_target_1, CAST(position AS BIGINT) AS position, heldout_gap_vs_reference, within_tolerance FROM gaps",
+    "in_tolerance": GAPS
+    + """ SELECT label, heldout_f1_target_1, CAST(position AS BIGINT) AS position, heldout_gap_vs_reference, within_tolerance
+FROM gaps WHERE within_tolerance""",
+    "stored_metric": scored(NORMALIZED, web=True)
+    + sweep_rows(NORMALIZED, "baseline_no_cleaning")
+    + " SELECT dev_f1_target_1 FROM quality WHERE variant = 'strip_urls'",
     "contract_closest": GAPS
     + """ SELECT label, heldout_f1_target_1, CAST(position AS BIGINT) AS position, heldout_gap_vs_reference, within_tolerance
 FROM gaps ORDER BY abs(heldout_gap_vs_reference), position LIMIT 1""",
     "dup_label_conflicts": DOCS + LINES + " SELECT * FROM dups",
+    "dup_group_members": DOCS
+    + LINES
+    + " SELECT upper(sha256(k)) AS group_key, id, target AS label FROM lines JOIN conflicts USING (k)",
     "likely_mislabels": scored(PLAIN) + MISLABELS + " SELECT * FROM mislabels",
     "audit_table": AUDIT + " SELECT * FROM audit",
     "audit_summary": AUDIT + " SELECT issue_type, disposition, count(*) AS n FROM audit GROUP BY ALL",

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions.normalize import dedup_key
-from flipside.operators.audit import audit_table, duplicate_conflicts, likely_mislabels, text_groups
+from flipside.operators.audit import (
+    audit_table,
+    conflict_members,
+    duplicate_conflicts,
+    likely_mislabels,
+    text_groups,
+)
 from flipside.operators.linear import Candidate
 from flipside.plans.decision import linear_scores
 
@@ -34,6 +40,6 @@ def audit(documents: DataFrame, scores: DataFrame | None = None) -> DataFrame:
         scores = linear_scores(documents, (AUDIT_MODEL,))
     known = scores.filter(F.col("split") != "heldout")
     return audit_table(
-        duplicate_conflicts(text_groups(documents)),
+        duplicate_conflicts(conflict_members(text_groups(documents))),
         likely_mislabels(with_keyword(known, documents)),
     )

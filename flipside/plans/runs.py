@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipside.functions.surface import LENGTH_EDGES
 from flipside.operators import audit as A
+from flipside.operators.compare import closest_to_contract, in_tolerance
 from flipside.operators.features import text_vectors
 from flipside.operators.metrics import confusion, f1, threshold_sweep
 from flipside.operators.profile import surface_profile
@@ -16,6 +19,7 @@ from flipside.operators.splits import FrozenDecision, open_splits, require_cover
 from flipside.plans import decision, normalization, probes, quality, shortcuts
 from flipside.plans.scoring import logistic_scorer, variant_terms
 from flipside.plans.variants import BASELINE, NORMALIZATION_VARIANTS, STRIP_URLS
+from flipside.session import materialize
 from flipside.sources import ledger as L
 from flipside.sources.corpus import read_contract, read_corpus, read_splits
 
@@ -60,22 +64,28 @@ class Workspace:
     def summary(self) -> str:
         return f"{self.output}/summary"
 
+    def load(self, table: str, schema: T.StructType | str) -> DataFrame:
+        """A result table that an earlier step saved."""
+        return L.read_table(self.spark, self.path(table), schema)
+
     def stored_block(self, step: str) -> DataFrame | None:
         """A ticket's predictions, or None when it has not been frozen here yet."""
-        ticket = TICKETS[step][0]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.predictions)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        try:
+            block = L.read_ledger(self.spark, self.predictions, L.PREDICTIONS_SCHEMA, TICKETS[step][0])
+            return None if block.isEmpty() else block
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        block = L.read_ledger(self.spark, self.predictions, L.PREDICTIONS_SCHEMA, ticket)
-        return None if block.isEmpty() else block
 
     def record(
         self, block: DataFrame, baseline: DataFrame | None, dev_f1: DataFrame, frozen: FrozenDecision
     ) -> None:
         """Write both ledgers, replacing this ticket's earlier rows."""
-        L.replace_in_ledger(block, self.predictions)
+        L.replace_in_ledger(block, self.predictions, frozen.ticket)
         written = L.read_ledger(self.spark, self.predictions, L.PREDICTIONS_SCHEMA, frozen.ticket)
-        L.replace_in_ledger(normalization.summary_row(written, baseline, dev_f1, frozen), self.summary)
+        row = normalization.summary_row(written, baseline, dev_f1, frozen)
+        L.replace_in_ledger(row, self.summary, frozen.ticket)
 
 
 def _dev_f1(scores: DataFrame) -> DataFrame:
@@ -95,7 +105,10 @@ def run_probe(work: Workspace) -> None:
         raise ValueError("the probe compares with a contract file")
     settings = [*probes.ONE_FACTOR, *probes.grid_settings()]
     contract = read_contract(work.spark, work.contract_path)
-    work.save(probes.probe(work.documents(), settings, contract), "ticket1_probe")
+    probed = materialize(probes.probe(work.documents(), settings, contract), "probe")
+    work.save(probed, "ticket1_probe")
+    work.save(in_tolerance(probed), "ticket1_in_tolerance")
+    work.save(closest_to_contract(probed), "ticket1_closest")
 
 
 def run_profile(work: Workspace) -> None:
@@ -115,7 +128,8 @@ def run_punctuation(work: Workspace) -> None:
 
 
 def run_freeze(work: Workspace) -> None:
-    """Adopt URL stripping: score held-out once, with the drift of the stored baseline block."""
+    """Adopt URL stripping: score held-out once, with the drift of the stored baseline block. The dev
+    metric is the one the decision was made on, read back from the stored sweep."""
     documents = work.documents()
     scores, _ = logistic_scorer()(documents, [BASELINE, STRIP_URLS])
     frozen = FrozenDecision(*TICKETS["freeze"], "adopt_strip_urls", "strips URLs; chosen on dev")
@@ -125,7 +139,10 @@ def run_freeze(work: Workspace) -> None:
     stored = work.stored_block("baseline")
     if stored is not None:
         work.save(L.ledger_drift(stored, baseline), "baseline_drift")
-    work.record(normalization.predictions_block(stripped, frozen), baseline, _dev_f1(stripped), frozen)
+    dev_f1 = L.stored_metric(
+        work.load("ticket2_dev", normalization.SWEEP_SCHEMA), "dev_f1_target_1", variant=STRIP_URLS.label
+    )
+    work.record(normalization.predictions_block(stripped, frozen), baseline, dev_f1, frozen)
 
 
 def run_shortcuts(work: Workspace) -> None:
@@ -147,6 +164,7 @@ def run_decision(work: Workspace) -> None:
     columns = ("threshold", "precision_target_1", "recall_target_1", "f1_target_1")
     work.save(swept.select(F.lit(ticket).alias("ticket"), *columns), "threshold_sweep")
     table, combo = decision.candidate_table(linear, decision.naive_bayes_scores(documents))
+    table = materialize(table, "candidates")
     work.save(table, "ticket4_dev")
     frozen = decision.freeze_combo(ticket, model_name, table, combo)
     block = normalization.predictions_block(combo, frozen)
@@ -157,14 +175,11 @@ def run_decision(work: Workspace) -> None:
 def run_audit(work: Workspace, reviews_path: str | None = None) -> None:
     """The unreviewed findings, and with a review table the reviewed ones and what it missed."""
     documents = work.documents()
-    work.save(quality.audit(documents), "data_quality_audit")
+    work.save(quality.audit(documents).orderBy("issue_type", "id"), "data_quality_audit")
     work.save(A.error_floor(A.text_groups(documents)), "error_floor")
     if reviews_path is None:
         return
-    audit = work.spark.read.schema(A.AUDIT_SCHEMA)
-    audit = (audit.options(**L.CSV_OPTIONS).csv if work.table_format == "csv" else audit.parquet)(
-        work.path("data_quality_audit")
-    )
+    audit = work.load("data_quality_audit", A.AUDIT_SCHEMA)
     reviews = work.spark.read.schema(REVIEW_SCHEMA).csv(reviews_path, header=True)
     A.require_reviews_match(audit, reviews)
     reviewed = A.review_overlay(audit, reviews)

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flipside.operators.bayes import mean_log_odds_scores, predict_at, token_log_odds
-from flipside.operators.features import fit_terms, term_frequencies, text_vectors
+from flipside.operators.features import counted_terms, fit_terms, text_vectors
 from flipside.operators.linear import Candidate, fit_linear, predict
-from flipside.plans.variants import TextVariant, tokenize_variants
+from flipside.plans.variants import TextVariant, count_variants
 from flipside.session import materialize
 
 Scorer = Callable[[DataFrame, Sequence[TextVariant]], tuple[DataFrame, DataFrame]]
@@ -24,9 +24,13 @@ SCORE_COLUMNS = ("variant", "id", "split", "y_true", "score", "y_pred")
 
 
 def variant_terms(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
-    """Term counts of every document under every variant, and the fitted term statistics."""
-    worded = tokenize_variants(documents, variants)
-    tf = term_frequencies(worded, F.col("words"), ["variant"], keep_empty=True)
+    """Term counts of every document under every variant, and the fitted term statistics.
+
+    Counts are written once, a row per document and variant; the statistics and the scoring read
+    them from there.
+    """
+    counted = materialize(count_variants(documents, variants), "counts")
+    tf = counted_terms(counted, F.col("counts"), ["variant"], keep_empty=True)
     return tf, fit_terms(tf, ["variant"])
 
 
@@ -39,7 +43,7 @@ def bayes_scorer(threshold: float = 0.30) -> Scorer:
     return score
 
 
-def logistic_scorer(c: float = 1.0, max_iter: int = 1000) -> Scorer:
+def logistic_scorer(c: float = 1.0, max_iter: int = 100) -> Scorer:
     def score(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
         tf, terms = variant_terms(documents, variants)
         vectors = text_vectors(tf, terms, documents, ["variant"])

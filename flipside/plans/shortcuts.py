@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,28 @@ MODELS = {
     "text_plus_all_shortcuts": ("text", *SHORTCUT_COLUMNS, "keyword"),
 }
 
-# What each feature slice stands for.
-FEATURE_NOTES = {
-    "floor": "reference floor (no signal)",
-    "keyword_only": "task info (curated keyword)",
-    "char_len_only": "artifact (text length)",
-    "has_url_only": "artifact (URL presence)",
-    "n_hashtags_only": "artifact (hashtag usage)",
-    "frac_upper_only": "artifact (capitalization)",
-    "has_location_only": "mixed (presence of a free-text field)",
-    "metadata_numeric_bundle": "artifact bundle (surface numbers only)",
-    "all_shortcuts": "mixed (task info and artifacts)",
-    "text_only": "reference (full text)",
-    "text_plus_all_shortcuts": "mixed (shortcuts on top of full text)",
+# What a block of features tells a classifier: something about the task, an artifact of how texts
+# were written or collected, or the text itself.
+KINDS = {
+    "text": "text",
+    "keyword": "task",
+    "char_len": "artifact",
+    "has_http": "artifact",
+    "n_hashtags": "artifact",
+    "frac_upper": "artifact",
+    "has_location": "context",
 }
 
 
+def feature_note(blocks: Sequence[str]) -> str:
+    """A model's note, derived from its blocks: their kinds, and the blocks if they are few."""
+    if not blocks:
+        return "none: majority class"
+    kinds = sorted({KINDS[block] for block in blocks})
+    named = ", ".join(blocks) if len(blocks) <= 2 else f"{len(blocks)} blocks"
+    return f"{' + '.join(kinds)}: {named}"
+
+
 def shortcut_features(documents: DataFrame) -> DataFrame:
     columns = shortcut_columns(F.col("text"), F.col("location"))
     return documents.select("id", "target", "split", *[c.alias(n) for n, c in columns.items()])
@@ -122,7 +130,8 @@ def shortcut_models(documents: DataFrame, text: DataFrame) -> tuple[DataFrame, D
         )
     )
     sizes = {m.feature_set: len(m.coefficients) for m in models} | {"floor": 1}
-    rows = [(i, name, sizes[name], note) for i, (name, note) in enumerate(FEATURE_NOTES.items())]
+    described_models = {"floor": (), **MODELS}
+    rows = [(i, name, sizes[name], feature_note(blocks)) for i, (name, blocks) in enumerate(described_models.items())]
     described = spark.createDataFrame(rows, "position bigint, model string, n_features bigint, feature_type_note string")
     table = described.join(quality, "model").select(
         "position", "model", "n_features", "dev_f1_target_1", "heldout_f1_target_1", "feature_type_note"

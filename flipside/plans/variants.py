@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions import patterns as P
-from flipside.functions.normalize import normalize
-from flipside.functions.terms import tokens, with_bigrams
+from flipside.functions.normalize import rewritten
+from flipside.functions.terms import term_counts, tokens, with_bigrams
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,17 @@ class TextVariant:
     bigrams: bool = False
 
     def words(self, text: Column) -> Column:
-        words = tokens(normalize(text, *self.steps), self.pattern, lowercase=not self.preserve_case)
-        return with_bigrams(words) if self.bigrams else words
+        """The variant's terms. Tokens hold no whitespace, so collapsing it would not change them."""
+        return self.terms(rewritten(text, *self.steps))
+
+    def terms(self, text: Column) -> Column:
+        """The terms of a text that the steps have been applied to."""
+        found = tokens(text, self.pattern, lowercase=not self.preserve_case)
+        return with_bigrams(found) if self.bigrams else found
+
+    @property
+    def tokenizer(self) -> tuple:
+        return self.preserve_case, self.pattern, self.bigrams
 
 
 BASELINE = TextVariant("baseline_no_cleaning")
@@ -48,12 +57,30 @@ TOKENIZER_VARIANTS = (
 NGRAM_VARIANTS = (TextVariant("1-1"), TextVariant("1-2", bigrams=True))
 
 
-def tokenize_variants(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:
-    """Each document once per variant: ``variant, id, target, split, words``, from one scan."""
-    per_variant = F.array(
-        *[F.struct(F.lit(v.label).alias("variant"), v.words(F.col("text")).alias("words")) for v in variants]
+def count_variants(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:
+    """Each document once per variant: ``variant, id, target, split, counts``, from one scan.
+
+    A text is tokenized and counted once per tokenizer; a variant whose steps leave it as it is
+    takes over these counts.
+    """
+    tokenizers = list(dict.fromkeys(v.tokenizer for v in variants))
+    first = {v.tokenizer: v for v in reversed(variants)}
+    prepared = documents.select(
+        "id",
+        "target",
+        "split",
+        "text",
+        *[term_counts(first[t].terms(F.col("text"))).alias(f"plain{i}") for i, t in enumerate(tokenizers)],
+        *[rewritten(F.col("text"), *v.steps).alias(f"text{i}") for i, v in enumerate(variants) if v.steps],
     )
-    return documents.select("id", "target", "split", F.inline_outer(per_variant))
+    counted = []
+    for i, v in enumerate(variants):
+        counts = F.col(f"plain{tokenizers.index(v.tokenizer)}")
+        if v.steps:
+            own = F.col(f"text{i}")
+            counts = F.when(own == F.col("text"), counts).otherwise(term_counts(v.terms(own)))
+        counted.append(F.struct(F.lit(v.label).alias("variant"), counts.alias("counts")))
+    return prepared.select("id", "target", "split", F.inline_outer(F.array(*counted)))
 
 
 def variant_table(documents: DataFrame, variants: Sequence[TextVariant]) -> DataFrame:

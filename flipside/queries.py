@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +49,14 @@ def query(function: Query) -> Query:
     return function
 
 
-@lru_cache
-def split_rule(spark: SparkSession, folder: str) -> SP.SplitRule:
-    """The fixed split of a fixture folder, fitted once per session."""
-    return SP.fit_split(R.labelled_documents(spark, folder))
-
-
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return split_rule(spark, folder).assign(R.labelled_documents(spark, folder))
+    documents = R.labelled_documents(spark, folder)
+    return SP.fit_split(documents).assign(documents)
 
 
 def web_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return split_rule(spark, folder).assign(R.labelled_web_documents(spark, folder))
+    rule = SP.fit_split(R.labelled_documents(spark, folder))
+    return rule.assign(R.labelled_web_documents(spark, folder))
 
 
 def split_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +123,7 @@ def _blocks(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     scored = scores(spark, folder)
     path = scratch_path(spark, "ledger")
     for ticket, cut in zip(TICKETS, (0.30, 0.25)):
-        L.replace_in_ledger(_block(scored, ticket, cut), path)
+        L.replace_in_ledger(_block(scored, ticket, cut), path, ticket)
     return path, scored
 
 
@@ -145,7 +140,7 @@ def predictions_block(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def ledger_replace(spark: SparkSession, folder: str) -> DataFrame:
     path, scored = _blocks(spark, folder)
-    L.replace_in_ledger(_block(scored, TICKETS[0], 0.35), path)
+    L.replace_in_ledger(_block(scored, TICKETS[0], 0.35), path, TICKETS[0])
     return L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA).withColumn("score", shown("score"))
 
 
@@ -163,19 +158,28 @@ def freeze_summary(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "ledger")
     first = SP.FrozenDecision(TICKETS[0], "bayes", "adopt_plain_default", "fixture", CUT)
     plain = scored.filter(F.col("variant") == BASELINE.label)
-    L.replace_in_ledger(normalization.predictions_block(plain, first), path)
+    L.replace_in_ledger(normalization.predictions_block(plain, first), path, TICKETS[0])
 
     second = SP.FrozenDecision(TICKETS[1], "bayes_case", "adopt_preserve_case", "best dev threshold")
     cased = scored.filter(F.col("variant") == CASE_VARIANT.label)
     best = M.best_row(M.threshold_sweep(SP.open_splits(cased, ["dev"])), "f1_target_1")
     tuned = normalization.predictions_block(decision.best_threshold_predictions(cased), second)
-    L.replace_in_ledger(tuned, path)
+    L.replace_in_ledger(tuned, path, TICKETS[1])
     block = L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA, TICKETS[1])
     stored = L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA, TICKETS[0])
     dev_f1 = best.select(F.col("f1_target_1").alias("dev_f1_target_1"))
     return normalization.summary_row(block, stored, dev_f1, second)
 
 
+@query
+def stored_metric(spark: SparkSession, folder: str) -> DataFrame:
+    """A freeze's dev metric, read back from the sweep that was stored when it was decided."""
+    path = scratch_path(spark, "sweep")
+    L.write_table(normalization.normalization_sweep(web_corpus(spark, folder), bayes_scorer(CUT)), path)
+    stored = L.read_table(spark, path, normalization.SWEEP_SCHEMA)
+    return L.stored_metric(stored, "dev_f1_target_1", variant=STRIP_URLS.label)
+
+
 # --- splits -----------------------------------------------------------------------------------
 
 
@@ -540,6 +544,11 @@ def contract_gap(spark: SparkSession, folder: str) -> DataFrame:
     return _gaps(spark, folder)
 
 
+@query
+def in_tolerance(spark: SparkSession, folder: str) -> DataFrame:
+    return C.in_tolerance(_gaps(spark, folder))
+
+
 @query
 def contract_closest(spark: SparkSession, folder: str) -> DataFrame:
     return C.closest_to_contract(_gaps(spark, folder))
@@ -600,8 +609,12 @@ def _mislabels(spark: SparkSession, folder: str) -> DataFrame:
     return A.likely_mislabels(scored, LOW_SCORE, HIGH_SCORE, 0.20, 0.40, "NB")
 
 
+def _conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    return A.conflict_members(_lines(spark, folder))
+
+
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
-    return A.audit_table(A.duplicate_conflicts(_lines(spark, folder)), _mislabels(spark, folder))
+    return A.audit_table(A.duplicate_conflicts(_conflicts(spark, folder)), _mislabels(spark, folder))
 
 
 def _reviews(spark: SparkSession, folder: str) -> DataFrame:
@@ -616,7 +629,12 @@ def _reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def dup_label_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return A.duplicate_conflicts(_lines(spark, folder))
+    return A.duplicate_conflicts(_conflicts(spark, folder))
+
+
+@query
+def dup_group_members(spark: SparkSession, folder: str) -> DataFrame:
+    return A.group_members(_conflicts(spark, folder))
 
 
 @query
@@ -656,4 +674,4 @@ def label_error_floor(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def relabel_overlay(spark: SparkSession, folder: str) -> DataFrame:
-    return A.relabel_overlay(corpus(spark, folder), A.duplicate_conflicts(_lines(spark, folder)))
+    return A.relabel_overlay(corpus(spark, folder), A.duplicate_conflicts(_conflicts(spark, folder)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +21,10 @@ def build_session(app_name: str = "flipside", **settings: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir, which every executor can reach.
-
-    Only a local session, where driver and executors share one machine, may fall back to a
-    temporary folder.
-    """
+    """The folder the session names in spark.checkpoint.dir, which every executor can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="flipside-")
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 

@@ -44,24 +44,29 @@ def write_table(frame: DataFrame, path: str) -> None:
         frame.write.mode("overwrite").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     if path.rstrip("/").endswith(".csv"):
         return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def replace_in_ledger(block: DataFrame, path: str) -> None:
-    """Append a block, replacing whatever its tickets wrote before.
+def replace_in_ledger(block: DataFrame, path: str, ticket: str) -> None:
+    """Replace whatever ``ticket`` wrote before by ``block``, which may be empty.
 
-    The ledger is partitioned by ticket and only partitions present in the block are
-    overwritten, so other tickets' rows are neither read nor rewritten.
+    The ledger is partitioned by ticket and only this ticket's partition is overwritten, so other
+    tickets' rows are neither read nor rewritten. Rows of other tickets in the block are refused.
     """
-    (
-        block.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ticket")
-        .parquet(path)
-    )
+    strange = F.when(~F.col("ticket").eqNullSafe(F.lit(ticket)), F.raise_error(F.lit("a row of another ticket")))
+    rows = block.filter(F.coalesce(strange.cast("boolean"), F.lit(True)))
+    rows.drop("ticket").write.mode("overwrite").parquet(f"{path}/ticket={ticket}")
+
+
+def stored_metric(table: DataFrame, metric: str, **where: object) -> DataFrame:
+    """One row with the stored ``metric`` of the only row of a result table that meets ``where``."""
+    for column, value in where.items():
+        table = table.filter(F.col(column) == F.lit(value))
+    single = F.when(F.count("*") != 1, F.raise_error(F.lit(f"not one row for {where}")))
+    return table.agg(F.coalesce(single.cast("double"), F.max(metric)).alias(metric))
 
 
 def read_ledger(

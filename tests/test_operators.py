@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,17 @@ def test_salted_join_splits_hot_keys_and_loses_nothing(spark):
     )
 
 
+@pytest.mark.parametrize("rows", [4000, 16000])
+def test_hot_pieces_stay_at_the_target(spark, rows):
+    """A key with a fifth of the rows is cut into pieces as large at either size of the data."""
+    facts = spark.range(rows).select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id")).alias("key"))
+    counts = facts.groupBy("key").agg(F.count("*").alias("n"))
+    pieces = joins.hot_pieces(counts, ["key"], 100).collect()
+    assert [(p.key, p["__pieces"]) for p in pieces] == [(-1, rows // 500)]
+    piece = F.pmod(F.xxhash64("id"), F.lit(pieces[0]["__pieces"]))
+    assert facts.filter("key = -1").groupBy(piece).count().agg(F.max("count")).first()[0] < 160
+
+
 def test_shuffle_and_broadcast_lookups_agree(spark, monkeypatch):
     documents = spark.createDataFrame(
         [(1, 1, "train", "aa bb aa"), (2, 0, "train", "bb cc"), (3, 0, "dev", "aa zz"), (4, 1, "dev", "?")],
@@ -188,30 +200,36 @@ def copies(spark):
 
 
 def test_duplicate_conflicts(copies):
-    found = {r.id: r for r in A.duplicate_conflicts(A.text_groups(copies)).collect()}
+    found = {r.id: r for r in A.duplicate_conflicts(A.conflict_members(A.text_groups(copies))).collect()}
     verdicts = {i: (r.disposition, r.proposed_label, r.confidence) for i, r in found.items()}
     assert verdicts == {
         1: ("ambiguous", None, "low"), 2: ("keep_but_flag", None, "low"),
         3: ("fix", 1, "high"), 4: ("fix", 1, "high"),
         5: ("keep_but_flag", None, "high"), 6: ("fix", 1, "high"),
     }
-    assert found[2].evidence == "dup group ids=[1, 2] labels=[1, 0] text='tie here'"
-
-
-def test_large_groups_keep_every_row(copies):
-    usual = A.duplicate_conflicts(A.text_groups(copies))
-    short = A.duplicate_conflicts(A.text_groups(copies), spelled_out=2)
-    columns = ("id", "original_label", "disposition", "confidence")
-    assert rows_of(short, *columns) == rows_of(usual, *columns)
-    big = {r.evidence for r in short.filter("id >= 3").collect()}
-    assert len(big) == 1
-    assert "rows=4 positives=3 text='three to one'" in big.pop()
+    assert found[1].evidence == found[2].evidence
+    assert found[2].evidence.endswith(" rows=2 positives=1 text='tie here'")
+    members = rows_of(A.group_members(A.conflict_members(A.text_groups(copies))), "id", "label")
+    assert members == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 1), (6, 0)]
+
+
+@pytest.mark.parametrize("broadcast", [joins.BROADCAST_BYTES, -1])
+def test_groups_of_any_size_have_one_form(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast)
+    rows = [(i, "large group", int(i % 5 == 0), "train") for i in range(5000)] + [(5000, "pair", 0, "dev"), (5001, "pair", 1, "dev")]
+    frame = spark.createDataFrame(rows, "id long, text string, target int, split string")
+    found = A.duplicate_conflicts(A.conflict_members(A.text_groups(frame))).collect()
+    assert len(found) == 5002
+    assert {re.sub("key=[0-9A-F]{64} ", "", r.evidence) for r in found} == {
+        "dup group rows=5000 positives=1000 text='large group'", "dup group rows=2 positives=1 text='pair'",
+    }
+    assert max(len(r.evidence) for r in found) < 150
 
 
 def test_error_floor_and_relabel(copies):
     grouped = A.text_groups(copies)
     assert A.error_floor(grouped).first().asDict() == {"n_groups": 2, "n_rows": 6, "error_floor": 2}
-    relabelled = A.relabel_overlay(copies, A.duplicate_conflicts(grouped))
+    relabelled = A.relabel_overlay(copies, A.duplicate_conflicts(A.conflict_members(grouped)))
     assert rows_of(relabelled.filter("original_label <> target"), "id", "target") == [(6, 1)]
 
 
@@ -233,8 +251,13 @@ def test_reviews(spark):
     ]
     assert A.review_overlay(audit, reviews).filter("id = 2").first().proposed_label == 0
     assert rows_of(A.review_coverage(audit, reviews)) == [(8, "no_such_finding")]
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="without a finding"):
         A.require_reviews_match(audit, reviews)
+    twice = reviews.filter("id = 2").unionByName(reviews.filter("id = 2").withColumn("verdict", F.lit("ambiguous")))
+    with pytest.raises(ValueError, match="more than one verdict"):
+        A.require_reviews_match(audit, twice)
+    with pytest.raises(Exception, match="more than one verdict"):
+        A.review_overlay(audit, twice).collect()
 
 
 # --- sinks ------------------------------------------------------------------------------------
@@ -246,10 +269,10 @@ def test_ledger_replaces_only_its_own_ticket(spark, tmp_path):
     def block(ticket, label):
         return spark.createDataFrame([(1, 1, label, 0.5, "m", ticket)], L.PREDICTIONS_SCHEMA)
 
-    L.replace_in_ledger(block("t1", 0), path)
-    L.replace_in_ledger(block("t2", 0), path)
+    L.replace_in_ledger(block("t1", 0), path, "t1")
+    L.replace_in_ledger(block("t2", 0), path, "t2")
     for _ in range(2):
-        L.replace_in_ledger(block("t1", 1), path)
+        L.replace_in_ledger(block("t1", 1), path, "t1")
     assert rows_of(L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA), "ticket", "y_pred") == [("t1", 1), ("t2", 0)]
 
 
@@ -273,7 +296,8 @@ def test_csv_corpus_round_trip(spark, tmp_path):
 def test_no_python_in_the_text_path(spark, folder, capsys):
     from flipside.queries import QUERIES
 
-    for name in ("surface_profile", "token_counts", "norm_unescape_known", "tfidf_l2", "dup_label_conflicts"):
+    names = ("surface_profile", "token_counts", "norm_unescape_known", "norm_unescape_html", "norm_all", "tfidf_l2")
+    for name in (*names, "dup_label_conflicts", "flip_counts", "normalization_sweep"):
         QUERIES[name](spark, folder).explain()
         plan = capsys.readouterr().out
         assert "EvalPython" not in plan and "CartesianProduct" not in plan, name
