@@ -4,7 +4,8 @@ A document is the set of its distinct five-word shingles. Documents with equal s
 (by a 128-bit digest of the sorted set), and only classes are compared. Two linked sets share a shingle
 among the first ``n - ceil(0.75 n) + 1`` of each in any common order; the order used here puts
 shingles that many documents share last, so that a common passage seldom brings documents
-together. Classes that share such a shingle are compared in tiles:
+together. Of what two linked sets share, the first shingle must also leave enough of both behind it.
+Classes that share such a shingle are compared in tiles:
 
 1. Within a shingle and a band of sizes, all classes meet the smallest one. The classes that meet the same
    one are cut into tiles of bounded size; a tile is searched for all links inside, and a class that
@@ -45,17 +46,17 @@ PERCENT = 75
 # Classes of one side of a tile.
 TILE = 256
 LEAST_BITS, MOST_BITS = 256, 1 << 16
-# A shingle is common if a batch of documents holds it this often and all documents, together, in
-# more than one of ``COMMON_SHARE``; the list is ordered by frequency and only shapes the order.
-COMMON_IN_BATCH = 8
-COMMON_SHARE = 4096
-COMMON_LEAST = 64
-COMMON_LIST = 1 << 16
+# Shingles that some batches of documents hold this often each, and all of them together this often,
+# are common. The list of the most frequent ones shapes the order of shingles and nothing else.
+COMMON_IN_BATCH = 2
+COMMON_LEAST = 16
+COMMON_LIST = 1 << 18
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 MIXERS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
+PREFIX_SCHEMA = "shingle bigint, k1 bigint, k2 bigint, n int, rest int"
 DIGEST_SCHEMA = "kind int, id bigint, n bigint, k1 bigint, k2 bigint, bits binary"
 
 
@@ -143,6 +144,8 @@ def prefix_batches(common: np.ndarray):
                 classes.append(digest)
                 sizes.append(len(own))
             lengths = [len(prefix) for prefix in prefixes]
+            # How much of the set is left from each prefix shingle on, in this order.
+            rests = [size - np.arange(length, dtype=np.int32) for size, length in zip(sizes, lengths, strict=True)]
             keys_of = np.repeat(np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2), lengths, axis=0)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,8 +153,9 @@ def prefix_batches(common: np.ndarray):
                     pa.array(np.ascontiguousarray(keys_of[:, 0])),
                     pa.array(np.ascontiguousarray(keys_of[:, 1])),
                     pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                    pa.array(np.concatenate([np.zeros(0, np.int32), *rests]).astype(np.int32)),
                 ],
-                names=["shingle", "k1", "k2", "n"],
+                names=["shingle", "k1", "k2", "n", "rest"],
             )
 
     return emit
@@ -163,7 +167,7 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A row is passed on when its neighbour above or below has the same shingle and another class.
     The last row of a batch waits for the next.
     """
-    names = ("shingle", "k1", "k2", "n")
+    names = ("shingle", "k1", "k2", "n", "rest")
     held: list[np.ndarray] | None = None
     before: tuple | None = None  # the last row passed over: its shingle and class
     for batch in batches:
@@ -172,7 +176,7 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [np.concatenate([old, new]) for old, new in zip(held, rows, strict=True)]
         if not len(rows[0]):
             continue
-        shingle, first, second, _ = rows
+        shingle, first, second, *_ = rows
         fresh = np.ones(len(shingle), bool)
         fresh[1:] = (shingle[1:] != shingle[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         if before is not None:
@@ -372,22 +376,21 @@ def tile_of(total: Column) -> Column:
     return F.pmod(F.xxhash64("id"), F.ceil(total / TILE)).cast("int")
 
 
-def candidates(rows: DataFrame, digests: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
-    """``(shingle, id, n)``: classes, named by their smallest document, that share a prefix shingle."""
-    n_documents = digests.count()
-    least = max(COMMON_LEAST, n_documents // COMMON_SHARE)
-    listed = common.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def candidates(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFrame:
+    """``(shingle, id, n, rest)``: classes, named by their smallest document, that share a prefix
+    shingle, with the size of the set and of what is left of it from this shingle on."""
+    listed = common.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_LEAST)
     listed = listed.orderBy(F.desc("n"), "id").limit(COMMON_LIST).collect()
     rarest_first = np.array([row["id"] for row in reversed(listed)], np.int64).view(np.uint64)
-    prefixes = rows.filter("id IS NOT NULL").mapInArrow(prefix_batches(rarest_first), "shingle bigint, k1 bigint, k2 bigint, n int")
+    prefixes = rows.filter("id IS NOT NULL").mapInArrow(prefix_batches(rarest_first), PREFIX_SCHEMA)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
         prefixes.repartition(partitions, "shingle")
         .sortWithinPartitions("shingle", "n", "k1", "k2")
-        .mapInArrow(shared_rows, "shingle bigint, k1 bigint, k2 bigint, n int")
+        .mapInArrow(shared_rows, PREFIX_SCHEMA)
     )
     shared = materialize(shared, "shared-shingles")
-    return materialize(shared.join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("shingle", "id", "n"), "candidates")
+    return materialize(shared.join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("shingle", "id", "n", "rest"), "candidates")
 
 
 def links_in_bands(rows: DataFrame, shared: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -414,12 +417,16 @@ def links_across(rows: DataFrame, shared: DataFrame, signatures: DataFrame, reac
     labelled = materialize(labelled, "labelled")
     members = labelled.select("component", "id").distinct()
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    held = labelled.groupBy("shingle", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = labelled.groupBy("shingle", "component").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")
+    )
     held = held.withColumn("others", F.count("*").over(Window.partitionBy("shingle"))).filter("others > 1").drop("others")
-    left = held.select("shingle", *(F.col(name).alias(f"{name}_a") for name in ("component", "low", "high")))
-    right = held.select("shingle", *(F.col(name).alias(f"{name}_b") for name in ("component", "low", "high")))
+    left = held.select("shingle", *(F.col(name).alias(f"{name}_a") for name in ("component", "low", "high", "rest")))
+    right = held.select("shingle", *(F.col(name).alias(f"{name}_b") for name in ("component", "low", "high", "rest")))
     close = (100 * F.col("low_a") <= 10000 / PERCENT * F.col("high_b")) & (100 * F.col("low_b") <= 10000 / PERCENT * F.col("high_a"))
-    pairs = left.join(right, "shingle").filter((F.col("component_a") < F.col("component_b")) & close)
+    # The first shingle that two linked sets share leaves enough of both for their overlap.
+    enough = (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("low_a") + F.col("low_b"))
+    pairs = left.join(right, "shingle").filter((F.col("component_a") < F.col("component_b")) & close & enough)
     pairs = materialize(pairs.select("component_a", "component_b").distinct(), "component-pairs")
     pairs = pairs.join(sizes.select(F.col("component").alias("component_a"), F.col("size").alias("size_a")), "component_a")
     pairs = pairs.join(sizes.select(F.col("component").alias("component_b"), F.col("size").alias("size_b")), "component_b")
@@ -464,7 +471,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     common = listed.filter("kind = 1").select("id", "n")
     classes = digests.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
-    shared = candidates(rows, digests, classes, common)
+    shared = candidates(rows, classes, common)
     found = listed.filter("kind = 0").select("id", "n", "bits").join(shared.select("id").distinct(), "id", "left_semi")
     signatures = materialize(found, "signatures")
     links = links_in_bands(rows, shared, signatures)

@@ -46,7 +46,6 @@ def test_chains_bands_and_common_passages(spark, seed, monkeypatch):
     """Drifting chains, growing texts over many size bands, boilerplate in most texts, small tiles."""
     monkeypatch.setattr(ngram_join, "TILE", 4)
     monkeypatch.setattr(ngram_join, "COMMON_LEAST", 6)
-    monkeypatch.setattr(ngram_join, "COMMON_IN_BATCH", 3)
     random.seed(seed)
     words = [f"w{number}" for number in range(400)]
     passage = random.choices(words, k=60)
