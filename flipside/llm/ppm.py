@@ -39,8 +39,11 @@ from flipside.session import materialize
 ORDER = 5
 END = 10
 BLOCK_BYTES = 32 << 20
-# Positions whose grams are in memory at once.
-WINDOW = 4 << 20
+# Bytes of text whose words, and positions whose grams, are in memory at once.
+SLICE_BYTES = 1 << 20
+WINDOW = 1 << 20
+# Windows whose distinct grams are kept apart before they are added up.
+WINDOWS_APART = 16
 # Distinct grams per trie partition.
 TRIE_ROWS = 2 << 20
 
@@ -94,6 +97,7 @@ class BlockCounts:
 
     def __init__(self):
         self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.apart: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter[bytes] = Counter()
 
     def add(self, lists: list[list[bytes]], training: np.ndarray) -> None:
@@ -105,18 +109,23 @@ class BlockCounts:
                 self.words.update(dict.fromkeys([*own, b""], 0))
         for grams, owner in Stream(lists).windows():
             learned = training[owner]
-            keys, counts = [self.grams], [self.counts]
             for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
                 found, n = np.unique(chosen, return_counts=True)
-                keys.append(found)
-                counts.append(n * weight)
-            self.grams, self.counts = add_up(np.concatenate(keys), np.concatenate(counts))
+                self.apart.append((found, n * weight))
+            if len(self.apart) >= 2 * WINDOWS_APART:
+                self.merge()
+
+    def merge(self) -> None:
+        keys, counts = zip((self.grams, self.counts), *self.apart, strict=True)
+        self.grams, self.counts = add_up(np.concatenate(keys), np.concatenate(counts))
+        self.apart = []
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        self.merge()
         n_grams, n_words = len(self.grams), len(self.words)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(["gram"] * n_grams),
+                pa.DictionaryArray.from_arrays(np.zeros(n_grams, np.int8), ["gram"]).cast(pa.string()),
                 pa.array(np.full(n_grams, block)),
                 pa.array(self.grams),
                 pa.nulls(n_grams, pa.binary()),
@@ -126,7 +135,7 @@ class BlockCounts:
         )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(["word"] * n_words),
+                pa.DictionaryArray.from_arrays(np.zeros(n_words, np.int8), ["word"]).cast(pa.string()),
                 pa.array(np.full(n_words, block)),
                 pa.nulls(n_words, pa.int64()),
                 pa.array(list(self.words), pa.binary()),
@@ -141,7 +150,7 @@ def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_blocks: dict[int, BlockCounts] = {}
     piece_of: int | None = None
     for batch in batches:
-        for part in byte_slices(batch, "text"):
+        for part in byte_slices(batch, "text", SLICE_BYTES):
             pieces, blocks = (part.column(name).to_numpy() for name in ("piece", "block"))
             training = part.column("training").to_numpy(zero_copy_only=False)
             lists = [words_of(text) for text in byte_strings(part.column("text"))]
@@ -256,7 +265,7 @@ def block_scorer(train_tokens: int, vocabulary: int):
         counts = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
         columns: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
         for batch in documents.combine_chunks().to_batches():
-            for piece in byte_slices(batch, "text"):
+            for piece in byte_slices(batch, "text", SLICE_BYTES):
                 lists = [words_of(text) for text in byte_strings(piece.column("text"))]
                 for own in lists:
                     seen = np.fromiter(map(counts.__getitem__, own), np.float64, len(own))
