@@ -264,7 +264,7 @@ def block_scorer(train_tokens: int, vocabulary: int):
         lengths = grams.column("value").to_numpy()[first].astype(np.float64)
         counts = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
         columns: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for batch in documents.combine_chunks().to_batches():
+        for batch in documents.to_batches():
             for piece in byte_slices(batch, "text", SLICE_BYTES):
                 lists = [words_of(text) for text in byte_strings(piece.column("text"))]
                 for own in lists:
