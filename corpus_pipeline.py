@@ -1,8 +1,9 @@
 """Corpus preparation in stages: toxicity, quality, exact copies, near copies, packing.
 
-Every stage reads what its predecessor kept. The filters learn from the ``labels`` table of the
-folder and from the texts they are given; a document without an id is kept as it is by the
-filters and dropped by no stage but the packing, which packs it like any other.
+Every stage reads what its predecessor kept and decides for each row by itself, whether its id is
+unique, shared or null: rows are written with a number, and rejected by that number. The filters
+learn from the ``labels`` table of the folder and from the texts they are given; the packing packs
+every row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.llm import exact_dedup, ngram_join, packing, pattern_grammar, quadratic
-from flipside.llm.common import fold, read_table
+from flipside.llm.common import ROW, fold, numbered, read_table, texts
 from flipside.session import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,21 +27,28 @@ def in_training(doc_id: Column) -> Column:
     return fold(doc_id, 3) != 1
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents, all columns, whose id is not among the rejected."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+def without(written: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The written rows, all columns but their number, whose number is no ``doc_id`` of the rejected."""
+    return written.join(rejected.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
-    scores = pattern_grammar.score_toxicity(docs, labels, in_training(F.col("id")))
-    return without(docs, scores.filter(F.col("score") >= TOXIC_FROM))
+    written = numbered(docs, "toxicity-rows")
+    model = pattern_grammar.fit_grammar(texts(written), labels, in_training(F.col("id")))
+    scores = pattern_grammar.score_texts(model, texts(written, ROW))
+    return without(written, scores.filter(F.col("score") >= TOXIC_FROM))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
-    scores = quadratic.score_quality(docs, labels, in_training(F.col("id")))
-    return without(docs, scores.filter(F.col("score") < GOOD_FROM))
+    written = numbered(docs, "quality-rows")
+    vectors = materialize(quadratic.document_statistics(written, ROW), "statistics")
+    ids = written.select(ROW, F.col("doc_id").cast("bigint").alias("id"))
+    named = vectors.withColumnRenamed("id", ROW).join(ids, ROW).select("id", "x")
+    model = quadratic.fit_quality(named, labels, in_training(F.col("id")))
+    scores = quadratic.score_vectors(model, vectors)
+    return without(written, scores.filter(F.col("score") < GOOD_FROM))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flipside.session import materialize
+
 # Text handed to numpy at once.
 SLICE_BYTES = 4 << 20
+# Number of a written row, apart from any id.
+ROW = "__row"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +80,22 @@ def total_bytes(rows: DataFrame, column: str = "text") -> int:
     return rows.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written with a number of their own in the column ``ROW``."""
+    return materialize(rows.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def surplus_rows(members: DataFrame) -> DataFrame:
+    """The numbers of all rows but one of each group, ``members (ROW, id, keep_id, group)``.
+
+    The row that stays has the id its group keeps, null if all ids are null, and of such rows the
+    smallest number.
+    """
+    best = members.filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    stays = best.groupBy("group").agg(F.min(ROW).alias(ROW))
+    return members.select(ROW).join(stays.select(ROW), ROW, "left_anti")
+
+
 def pieces_for(total: int, target: int) -> int:
     """How many pieces of about ``target`` a whole of ``total`` makes; at least one."""
     return max(1, -(-total // target))

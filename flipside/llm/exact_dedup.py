@@ -7,7 +7,9 @@ larger than a task should hold are cut into pieces.
 
 Edge cases: a null text is empty, and all empty texts are one group; a group whose ids are all
 null has a null ``keep_id`` and keeps none of its rows; rows that share the id that stays are all
-marked kept; an empty table gives no rows; other columns are not read.
+marked kept; an empty table gives no rows; other columns are not read. ``drop_exact_copies`` goes by
+rows instead: of each text exactly one row stays, of several with the id that is kept (or of those of
+a group without ids) the one written first.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import texts
+from flipside.llm.common import ROW, numbered, surplus_rows, texts
 from flipside.operators.joins import salted_join
 from flipside.session import materialize
 
@@ -25,31 +27,36 @@ def exact_groups(
 ) -> DataFrame:
     """One row per document: the id its group keeps (the ``smallest`` or ``largest``), the group's
     size, whether this row stays, and the sha256 of its text."""
+    return group_members(texts(documents, id_column, text_column), keep).select(
+        F.col("id").alias("doc_id"),
+        "keep_id",
+        "group_size",
+        F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        "text_sha256",
+    )
+
+
+def group_members(rows: DataFrame, keep: str, *more: str) -> DataFrame:
+    """``rows (id, text)`` and their columns ``more`` with their group's ``keep_id`` and ``group_size``."""
     stays = {"smallest": F.min, "largest": F.max}[keep]("id")
-    rows = texts(documents, id_column, text_column).withColumn("hash", F.unhex(F.md5("text")))
+    rows = rows.withColumn("hash", F.unhex(F.md5("text")))
     groups = (
         rows.groupBy("hash", "text")
         .agg(stays.alias("keep_id"), F.count("*").alias("group_size"))
         .select("hash", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     groups = materialize(groups, "exact-groups")
-    members = rows.select("id", "hash", F.sha2("text", 256).alias("text_sha256"))
+    members = rows.select("id", "hash", F.sha2("text", 256).alias("text_sha256"), *more)
     key = ["hash", "text_sha256"]
     counts = groups.select(*key, F.col("group_size").alias("n"))
-    found = salted_join(members, groups, key, counts, F.col("id"))
-    return found.select(
-        F.col("id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-        "text_sha256",
-    )
+    return salted_join(members, groups, key, counts, F.xxhash64("id", *more))
 
 
 def drop_exact_copies(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest"
 ) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = exact_groups(documents, id_column, text_column, keep).filter(~F.col("kept"))
-    gone = dropped.select(F.col("doc_id").alias(id_column)).distinct()
-    return documents.join(gone, id_column, "left_anti")
+    """The rows that stay, one of each text, with all their columns."""
+    written = numbered(documents, "exact-rows")
+    found = group_members(texts(written, id_column, text_column, F.col(ROW)), keep, ROW).filter("group_size > 1")
+    members = materialize(found.select(ROW, "id", "keep_id", F.struct("hash", "text_sha256").alias("group")), "exact-copies")
+    return written.join(surplus_rows(members), ROW, "left_anti").select(documents.columns)

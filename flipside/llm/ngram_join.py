@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import Memo, byte_strings, texts
+from flipside.llm.common import ROW, Memo, byte_strings, numbered, surplus_rows, texts
 from flipside.operators.joins import fits_broadcast, salted_join
 from flipside.session import materialize
 
@@ -494,7 +494,17 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 
 def drop_near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns."""
-    found = near_duplicates(documents, id_column, text_column)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return documents.join(gone, id_column, "left_anti")
+    """Of each component one row, that of the smallest id, with all its columns.
+
+    Here every row is a node of its own, also one that shares its id or has none; of rows with the
+    smallest id (or without any) the one written first stays.
+    """
+    written = numbered(documents, "near-rows")
+    found = near_duplicates(written, ROW, text_column).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    found = found.join(written.select(ROW, F.col(id_column).cast("bigint").alias("id")), ROW)
+    found = materialize(found, "near-components")
+    groups = found.groupBy("group").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
+    groups = materialize(groups, "near-groups")
+    members = salted_join(found, groups.drop("n"), ["group"], groups.select("group", "n"), F.col(ROW))
+    members = materialize(members, "near-copies")
+    return written.join(surplus_rows(members), ROW, "left_anti").select(documents.columns)

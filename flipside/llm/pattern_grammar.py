@@ -294,7 +294,11 @@ def score_toxicity(
     """``(doc_id, score, n_clauses)`` of every document; ``is_training`` is a condition on the
     column ``id`` of the labelled rows."""
     rows = texts(documents, id_column, text_column)
-    model = fit_grammar(rows, labels, is_training, label_column, id_column, class_rows)
+    return score_texts(fit_grammar(rows, labels, is_training, label_column, id_column, class_rows), rows)
+
+
+def score_texts(model: ToxicGrammar, rows: DataFrame) -> DataFrame:
+    """``(doc_id, score, n_clauses)`` of ``rows (id, text)``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -160,6 +160,15 @@ def fit_discriminant(
     return Discriminant(means, factors, offsets, temperature)
 
 
+def fit_quality(
+    vectors: DataFrame, labels: DataFrame, is_training: Column, label_column: str = "quality", id_column: str = "doc_id"
+) -> Discriminant:
+    """Learn from the rows of ``vectors (id, x)`` whose label meets ``is_training``, a condition on ``id``."""
+    known = labels.select(F.col(id_column).cast("bigint").alias("id"), F.col(label_column).alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & is_training)
+    return fit_discriminant(vectors.join(known, "id"))
+
+
 def score_quality(
     documents: DataFrame,
     labels: DataFrame,
@@ -171,9 +180,11 @@ def score_quality(
     """``(doc_id, score)`` of every document; learned from labelled rows that meet ``is_training``,
     a condition on the column ``id``."""
     vectors = materialize(document_statistics(documents, id_column, text_column), "statistics")
-    known = labels.select(F.col(id_column).cast("bigint").alias("id"), F.col(label_column).alias("label"))
-    known = known.filter(F.col("label").isin(0, 1) & is_training)
-    model = fit_discriminant(vectors.join(known, "id"))
+    return score_vectors(fit_quality(vectors, labels, is_training, label_column, id_column), vectors)
+
+
+def score_vectors(model: Discriminant, vectors: DataFrame) -> DataFrame:
+    """``(doc_id, score)`` of ``vectors (id, x)``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

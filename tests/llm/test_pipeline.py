@@ -74,3 +74,38 @@ def test_awkward_documents_pass_every_stage(spark, awkward, no_documents, tmp_pa
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, documents, str(tmp_path)).columns == awkward.columns
             assert stage(spark, documents, str(tmp_path)).filter(F.col("doc_id") < 0).count() == 0
+
+
+def by_rows(rows):
+    return sorted(((row.doc_id, row.text, row.n) for row in rows), key=str)
+
+
+def test_exact_copies_go_row_by_row(spark):
+    """Null ids, an id of several texts and repeated rows: one row of each text stays."""
+    rows = [(None, "x"), (None, "x"), (None, None), (None, ""), (3, "B"), (10, "A"), (10, "B"), (None, "B"), (7, "C"), (7, "C"), (8, "C")]
+    docs = spark.createDataFrame([(doc, text, n) for n, (doc, text) in enumerate(rows)], "doc_id bigint, text string, n int").coalesce(1)
+    kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert by_rows(kept) == sorted([(None, "x", 0), (None, None, 2), (3, "B", 4), (10, "A", 5), (7, "C", 8)], key=str)
+
+
+def test_near_copies_go_row_by_row(spark):
+    words = [f"w{number}" for number in range(60)]
+    base, near, other = " ".join(words), " ".join([*words[:-1], "y"]), " ".join(f"v{number}" for number in range(60))
+    rows = [(None, other), (None, other + " z"), (5, near), (4, base), (5, "five words of its own here"), (4, base), (None, near), (6, None), (None, "")]
+    docs = spark.createDataFrame([(doc, text, n) for n, (doc, text) in enumerate(rows)], "doc_id bigint, text string, n int").coalesce(1)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(row.n for row in kept) == [0, 3, 4, 7, 8]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality"])
+def test_filters_decide_row_by_row(spark, folder, stages, name):
+    """The same texts without ids, or all under one id, are kept as they are under their own."""
+    before, after, *_ = stages[name]
+    stage, kept = dict(corpus_pipeline.STAGES)[name], {row.doc_id for row in after}
+    docs = queries.read_table(spark, folder, "documents")
+    docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in before]))
+    awkward = docs.withColumn("n_chars", F.col("doc_id"))
+    more = awkward.withColumn("doc_id", F.lit(None).cast("bigint")).unionByName(awkward.withColumn("doc_id", F.lit(-1).cast("bigint")))
+    # The unlabelled rows change nothing in what is learned.
+    found = [row.n_chars for row in stage(spark, awkward.unionByName(more), folder).collect()]
+    assert sorted(found) == sorted([*kept] * 3)
