@@ -29,7 +29,10 @@ from flipside.llm.word_encoder import little_endian, word_encoder
 MAGIC = b"FRP1"
 HEADER = struct.Struct("<4s5Q")
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 256
+# A rule takes the room of three symbols, and each use of it saves one: three uses break even.
+MIN_COUNT = 3
+# Down to this count pairs are counted in tables, over the whole sequence.
+TABLE_COUNT = 256
 RANGE_BYTES = 32 << 20
 # Pairs looked at per pass, most frequent first.
 PASS_PAIRS = 4096
@@ -84,17 +87,14 @@ class Pairs:
 def compatible(ranked: list[int]) -> list[int]:
     """Pairs that can be replaced in one pass: no symbol ends one and begins another.
 
-    Occurrences of such pairs cannot overlap. A pair of equal symbols is replaced alone.
+    Occurrences of such pairs cannot overlap, but for those of one pair of equal symbols.
     """
-    first, second = ranked[0] >> 32, ranked[0] & 0xFFFFFFFF
-    if first == second:
-        return ranked[:1]
     left: set[int] = set()
     right: set[int] = set()
     chosen = []
     for pair in ranked:
         first, second = pair >> 32, pair & 0xFFFFFFFF
-        if first != second and first not in right and second not in left:
+        if first not in right and second not in left and (first != second or first not in left and first not in right):
             left.add(first)
             right.add(second)
             chosen.append(pair)
@@ -108,6 +108,50 @@ def disjoint(where: np.ndarray) -> np.ndarray:
     return where[(where - run_start) % 2 == 0]
 
 
+def replaceable(chosen: np.ndarray, where: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The places ``where`` pairs numbered ``numbers`` begin, without overlaps."""
+    equal = ((chosen >> 32) == (chosen & 0xFFFFFFFF))[numbers]
+    return np.sort(np.concatenate((where[~equal], disjoint(where[equal])))) if equal.any() else where
+
+
+def replace_rare(symbols: np.ndarray, size: int, min_count: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Replace pairs until none occurs ``min_count`` times, looking only at what can still change.
+
+    A border between two symbols whose pair is rarer is never replaced, nor is any pair that later
+    comes to lie there, since it occurs at most as often. Symbols between two such borders are done.
+    """
+    symbols, kept, rules = symbols.copy(), np.ones(len(symbols), bool), []
+    at = np.arange(len(symbols))
+    # Whether the symbol and the next one may still become a pair.
+    joined = np.arange(len(symbols)) < len(symbols) - 1
+    while True:
+        where = np.flatnonzero(joined)
+        held = symbols[at]
+        pairs, codes, counts = np.unique((held[where] << 32) | held[where + 1], return_inverse=True, return_counts=True)
+        live = counts >= min_count
+        if not live.any():
+            return rules, symbols[kept]
+        ranked = np.flatnonzero(live)
+        ranked = ranked[np.lexsort((pairs[ranked], -counts[ranked]))]
+        chosen = np.array(compatible(pairs[ranked].tolist()), np.int64)
+        table = np.full(len(pairs), -1)
+        table[np.searchsorted(pairs, chosen)] = np.arange(len(chosen))
+        numbers = np.full(len(at), -1)
+        numbers[where] = table[codes]
+        joined[where] = live[codes]
+        places = np.flatnonzero(numbers >= 0)
+        places = replaceable(chosen, places, numbers[places])
+        symbols[at[places]] = size + numbers[places]
+        kept[at[places + 1]] = False
+        joined[places] = joined[places + 1]
+        stays = joined.copy()
+        stays[1:] |= joined[:-1]
+        stays[places + 1] = False
+        at, joined = at[stays], joined[stays]
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1).astype(np.uint32))
+        size += len(chosen)
+
+
 def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray]:
     """Replace frequent pairs until none occurs ``min_count`` times.
 
@@ -117,22 +161,25 @@ def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.
     symbols = ids.astype(np.int64)
     base = int(symbols.max()) + 1 if len(symbols) else 0
     size, rules = base, []
+    first_count = max(min_count, TABLE_COUNT)
     while len(symbols) > 1:
-        pairs = Pairs(symbols, size, min_count)
-        ranked = pairs.frequent(min_count)
+        pairs = Pairs(symbols, size, first_count)
+        ranked = pairs.frequent(first_count)
         if not ranked:
             break
         chosen = np.array(compatible(ranked), np.int64)
         numbers = pairs.numbers(chosen)
         where = np.flatnonzero(numbers >= 0)
-        if chosen[0] >> 32 == chosen[0] & 0xFFFFFFFF:
-            where = disjoint(where)
+        where = replaceable(chosen, where, numbers[where])
         symbols[where] = size + numbers[where]
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         symbols = symbols[keep]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1).astype(np.uint32))
         size += len(chosen)
+    if min_count < first_count and len(symbols) > 1:
+        more, symbols = replace_rare(symbols, size, min_count)
+        rules += more
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols.astype(np.uint32)
 
 

@@ -55,6 +55,22 @@ def test_grammar_leaves_no_frequent_pair():
     assert len(rules) == len({tuple(rule) for rule in rules.tolist()})
 
 
+def test_production_grammar_replaces_pairs_that_occur_three_times():
+    """A passage of rare ids, copied a few times, becomes a few rules; what is left has no pair three times."""
+    random = np.random.default_rng(2)
+    passage = random.choice(40_000, 3000, replace=False)
+    pieces = [part for _ in range(6) for part in (random.integers(0, 40_000, 2000), passage)]
+    runs = np.repeat(random.integers(0, 9, 400), random.integers(1, 9, 400))
+    ids = np.concatenate([*pieces, runs]).astype(np.uint32)
+    _, rules, symbols = token_grammar.build_grammar(ids)
+    pairs, counts = np.unique(np.stack([symbols[:-1], symbols[1:]]), axis=1, return_counts=True)
+    assert counts[pairs[0] != pairs[1]].max() < 3
+    assert len(symbols) < len(ids) - 5 * 2900
+    assert len(rules) == len({tuple(rule) for rule in rules.tolist()})
+    shard = token_grammar.Shard(token_grammar.pack_shard(ids, np.array([len(ids)]), [7], token_grammar.MIN_COUNT))
+    assert (shard.ids(0, len(ids)) == ids).all() and (shard.ids(1234, 30_000) == ids[1234:30_000]).all()
+
+
 def test_token_shards(spark, awkward, no_documents, tokenizer):
     path = scratch_path(spark, "test-shards")
     token_grammar.write_token_shards(awkward, path, queries.WORD_BPE, 2, shard_tokens=4000, min_count=8)
