@@ -129,7 +129,7 @@ def shortcut_models(documents: DataFrame, text: DataFrame) -> tuple[DataFrame, D
             F.round(F.max(F.when(F.col("split") == "heldout", f1())), 4).alias("heldout_f1_target_1"),
         )
     )
-    sizes = {m.feature_set: len(m.coefficients) for m in models} | {"floor": 1}
+    sizes = {m.feature_set: m.size for m in models} | {"floor": 1}
     described_models = {"floor": (), **MODELS}
     rows = [(i, name, sizes[name], feature_note(blocks)) for i, (name, blocks) in enumerate(described_models.items())]
     described = spark.createDataFrame(rows, "position bigint, model string, n_features bigint, feature_type_note string")
