@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,3 +182,11 @@ def test_packing_is_tight_on_whole_tables(spark, folder):
     rows = packing.pack_documents(queries.read_table(spark, folder, "documents"), queries.WORD_BPE, end_id=0)
     used, tokens = rows.agg(F.count_distinct("sequence_id"), F.sum("length")).first()
     assert used <= 1.03 * tokens / 2048 + 1
+
+
+def test_equal_pieces_are_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = [(None, None)] * 400 + [(7, "same text")] * 400 + [(number, f"text {number}") for number in range(200)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), queries.WORD_BPE, 0).collect()
+    sizes = Counter(row.sequence_id >> 32 for row in found)
+    assert len(found) == 1000 and len(sizes) == 20 and max(sizes.values()) < 100
