@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flipside.functions.normalize import dedup_key, snippet
 from flipside.operators.joins import fits_broadcast, salted_join
+from flipside.operators.ranking import with_places
 from flipside.session import materialize
 
 AUDIT_SCHEMA = T.StructType(
@@ -92,8 +93,14 @@ def duplicate_conflicts(members: DataFrame) -> DataFrame:
 
 
 def group_members(members: DataFrame) -> DataFrame:
-    """Who is in each conflicting group: one row ``(group_key, id, label)`` per member."""
-    return members.select(F.hex("group_key").alias("group_key"), "id", F.col("target").alias("label"))
+    """Who is in each conflicting group, in order: ``(group_key, place, id, label)`` per member.
+
+    Members are placed by id from 1; those that share an id, by label. A group may be any share of
+    the rows: it is ordered in ranges, not in one task.
+    """
+    named = members.select(F.hex("group_key").alias("group_key"), "id", F.col("target").alias("label"))
+    placed = with_places(named, ["group_key"], ["id", "label"])
+    return placed.select("group_key", "place", "id", "label")
 
 
 def error_floor(grouped: DataFrame) -> DataFrame:

@@ -15,11 +15,14 @@ TARGET_ROWS = 1 << 17
 
 
 def measured_bytes(table: DataFrame) -> int:
-    """Size of a table's values: string lengths plus 16 bytes per field."""
-    strings = [name for name, kind in table.dtypes if kind == "string"]
+    """Size of a table's values: 16 bytes per field, the length of strings and binaries, and that of
+    an array's, map's or structure's JSON, which no plain value exceeds by much."""
     per_row = F.lit(16 * len(table.columns))
-    for name in strings:
-        per_row = per_row + F.coalesce(F.octet_length(name), F.lit(0))
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            per_row = per_row + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            per_row = per_row + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
     return table.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0]
 
 

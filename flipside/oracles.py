@@ -536,7 +536,8 @@ FROM gaps ORDER BY abs(heldout_gap_vs_reference), position LIMIT 1""",
     "dup_label_conflicts": DOCS + LINES + " SELECT * FROM dups",
     "dup_group_members": DOCS
     + LINES
-    + " SELECT upper(sha256(k)) AS group_key, id, target AS label FROM lines JOIN conflicts USING (k)",
+    + """ SELECT upper(sha256(k)) AS group_key, row_number() OVER (PARTITION BY k ORDER BY id, target) AS place,
+  id, target AS label FROM lines JOIN conflicts USING (k)""",
     "likely_mislabels": scored(PLAIN) + MISLABELS + " SELECT * FROM mislabels",
     "audit_table": AUDIT + " SELECT * FROM audit",
     "audit_summary": AUDIT + " SELECT issue_type, disposition, count(*) AS n FROM audit GROUP BY ALL",

@@ -1,5 +1,6 @@
 """Splits, joins, metrics, comparisons, audits and ledgers on small literal tables."""
 
+import collections
 import hashlib
 import json
 import re
@@ -13,6 +14,7 @@ from flipside.operators import compare as C
 from flipside.operators import features as X
 from flipside.operators import joins
 from flipside.operators import metrics as M
+from flipside.operators import ranking
 from flipside.operators import splits as SP
 from flipside.sources import corpus as R
 from flipside.sources import ledger as L
@@ -209,8 +211,28 @@ def test_duplicate_conflicts(copies):
     }
     assert found[1].evidence == found[2].evidence
     assert found[2].evidence.endswith(" rows=2 positives=1 text='tie here'")
-    members = rows_of(A.group_members(A.conflict_members(A.text_groups(copies))), "id", "label")
-    assert members == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 1), (6, 0)]
+    members = rows_of(A.group_members(A.conflict_members(A.text_groups(copies))), "id", "label", "place")
+    assert members == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 1, 2), (5, 1, 3), (6, 0, 4)]
+
+
+def test_places_in_a_group_of_a_third_of_all_rows(spark):
+    """Null groups, ties and rows alike in every column; no range holds much more than its target."""
+    rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"g{i % 500}", i // 4 if i % 5 else None) for i in range(9000)]
+    frame = spark.createDataFrame([*rows, *[("same", 1)] * 3000], "g string, id long")
+    placed = ranking.with_places(frame, ["g"], ["id"], target_rows=500).collect()
+    groups = collections.defaultdict(list)
+    for row in placed:
+        groups[row.g].append((row.place, row.id, row.size))
+    assert len(placed) == 12000
+    for found in groups.values():
+        found.sort()
+        assert [place for place, _, _ in found] == list(range(1, len(found) + 1))
+        assert {size for _, _, size in found} == {len(found)}
+        ids = [-1 if i is None else i for _, i, _ in found]
+        assert ids == sorted(ids)
+    ranges = ranking.dealt_by_range(frame, ["g", "id"], 500).groupBy("__range").count().collect()
+    assert len(ranges) >= 20 and max(r["count"] for r in ranges) <= 1000
+    assert ranking.with_places(frame.limit(0), ["g"], ["id"]).count() == 0
 
 
 @pytest.mark.parametrize("broadcast", [joins.BROADCAST_BYTES, -1])

@@ -1,4 +1,4 @@
-"""Every query with an SQL equivalent, compared with DuckDB on the smallest tables."""
+"""Every query of the library with an SQL equivalent, compared with DuckDB on the smallest tables."""
 
 import math
 import sys
@@ -9,7 +9,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-import __spark_entry__ as entry  # noqa: E402
+from flipside.oracles import ORACLES  # noqa: E402
+from flipside.queries import QUERIES  # noqa: E402
 
 TABLES = ("documents", "labels", "pages", "conversations")
 
@@ -33,13 +34,13 @@ def duck(folder):
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, folder, duck, name):
-    frame = entry.queries()[name](spark, folder)
-    want = duck.execute(entry.oracle_sql()[name])
+    frame = QUERIES[name](spark, folder)
+    want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(frame.columns)
     got = ordered([tuple(plain(r[c]) for c in columns) for r in frame.collect()])
