@@ -54,16 +54,17 @@ def with_places(
     a value like others, and first in order.
     """
     numbered = dealt_by_range(rows, [*group, *order], target_rows).withColumn("__group", marked(rows, group))
-    runs = numbered.groupBy("__range", "__group").agg(F.min("__row").alias("__first"), F.count("*").alias("n"))
+    runs = numbered.groupBy("__range", "__group").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
     # A group has one run in each of its ranges.
     before = W.partitionBy("__group").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     counted = materialize(
-        runs.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn(size, F.sum("n").over(W.partitionBy("__group"))),
+        runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .withColumn(size, F.sum("__n").over(W.partitionBy("__group"))),
         "runs",
     )
     key = ["__range", "__group"]
-    joined = lookup_join(numbered, counted.drop("n"), key, counted.select(*key, "n"), F.col("__row"), source=counted)
+    sizes = counted.select(*key, F.col("__n").alias("n"))
+    joined = lookup_join(numbered, counted.drop("__n"), key, sizes, F.col("__row"), source=counted)
     return joined.withColumn(place, F.col("__before") + F.col("__row") - F.col("__first") + 1).select(
         *rows.columns, place, size
     )
