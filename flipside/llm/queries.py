@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from flipside.llm import (
     cover_tree,
     exact_dedup,
+    line_runs,
+    merkle,
     ngram_join,
     packing,
     pattern_grammar,
@@ -19,8 +21,9 @@ from flipside.llm import (
     prefix_table,
     quadratic,
     token_grammar,
+    whitening,
 )
-from flipside.llm.common import fold, read_table
+from flipside.llm.common import fold, id_text, read_table
 from flipside.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +112,41 @@ def op3_prefix_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, folder, "documents"))
+
+
+@query
+def op11_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_runs.drop_repeated_lines(read_table(spark, folder, "documents"), min_documents=5, min_length=40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_refined_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"), components=16)
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [F.col(name) for name in MANIFEST_FIELDS]
+    tampered = merkle.leaf_digest([*fields[:-1], F.replace(fields[-1], F.lit("\n"), F.lit(""))])
+    leaves = read_table(spark, folder, "documents").select(
+        F.col("doc_id").cast("bigint").alias("id"),
+        merkle.group_key(F.col("source")).alias("group"),
+        merkle.leaf_digest(fields).alias("leaf"),
+        F.when(F.crc32(id_text(F.col("doc_id"))) % 2 == 0, tampered).alias("tampered"),
+    )
+    path = scratch_path(spark, "merkle")
+    merkle.write_manifest(leaves, path)
+    proved = merkle.prove(spark, path, spark.read.parquet(f"{path}/leaves"))
+    found = proved.select(
+        F.col("id").alias("doc_id"),
+        merkle.hexed(F.col("leaf")).alias("leaf"),
+        merkle.hexed(F.col("subroot")).alias("subroot"),
+        merkle.hexed(F.col("root")).alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
