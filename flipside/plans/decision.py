@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flipside.operators.bayes import fit_weighted_bayes, weighted_bayes_scores
-from flipside.operators.features import fit_terms, idf_table, term_frequencies, text_vectors, tfidf
-from flipside.operators.linear import Candidate, fit_linear, predict
+from flipside.operators.features import idf_table, text_vectors, tfidf
+from flipside.operators.linear import Candidate, LinearModel, certificates, fit_linear, predict
 from flipside.operators.metrics import best_row, confusion, prf, threshold_sweep
 from flipside.operators.splits import FrozenDecision, open_splits
+from flipside.plans.scoring import variant_terms
 from flipside.plans.variants import STRIP_URLS, TextVariant
 from flipside.session import materialize
 
@@ -33,8 +34,8 @@ GROUPS = (
 
 def naive_bayes_scores(documents: DataFrame, variant: TextVariant = STRIP_URLS) -> DataFrame:
     """Multinomial naive Bayes on TF-IDF weights: ``id, y_true, split, score, y_pred``."""
-    tf = term_frequencies(documents, variant.words(F.col("text")), keep_empty=True)
-    terms = fit_terms(tf)
+    tf, terms = variant_terms(documents, [variant])
+    tf, terms = tf.drop("variant"), terms.drop("variant")
     weights = tfidf(tf, idf_table(terms, documents), terms, keep_unknown=True)
     return weighted_bayes_scores(weights, fit_weighted_bayes(weights), terms, documents)
 
@@ -43,13 +44,37 @@ def linear_scores(
     documents: DataFrame, candidates: tuple[Candidate, ...], variant: TextVariant = STRIP_URLS
 ) -> DataFrame:
     """Scores of all candidates, fitted together on one feature set, as a written table."""
-    tf = term_frequencies(documents, variant.words(F.col("text")), keep_empty=True)
-    terms = fit_terms(tf)
-    vectors = text_vectors(tf, terms, documents)
-    models = fit_linear(vectors.filter("split = 'train'"), candidates)
+    vectors, models = _fitted(documents, candidates, variant)
     return materialize(predict(vectors, models).drop("feature_set"), "scores")
 
 
+def _fitted(
+    documents: DataFrame, candidates: tuple[Candidate, ...], variant: TextVariant
+) -> tuple[DataFrame, list[LinearModel]]:
+    tf, terms = variant_terms(documents, [variant])
+    vectors = text_vectors(tf.drop("variant"), terms.drop("variant"), documents)
+    return vectors, fit_linear(vectors.filter("split = 'train'"), candidates)
+
+
+def certified_scores(
+    documents: DataFrame, candidates: tuple[Candidate, ...], variant: TextVariant = STRIP_URLS
+) -> tuple[DataFrame, DataFrame]:
+    """The models' certificates, and the written scores with ``margin_error`` and ``certified``."""
+    vectors, models = _fitted(documents, candidates, variant)
+    proofs = certificates(models)
+    return proofs, materialize(predict(vectors, models, proofs=proofs).drop("feature_set"), "scores")
+
+
+def certificate_table(proofs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per model: rows fitted and scored, positive classes, and classes its certificate leaves open."""
+    counts = scores.groupBy("label").agg(
+        F.count("*").alias("n_scored"), F.sum("y_pred").alias("n_positive"), F.count_if(~F.col("certified")).alias("n_uncertified")
+    )
+    return proofs.join(counts, "label").select(
+        "label", "n_fit", "converged", "n_scored", "n_positive", "n_uncertified", "epsilon", "delta"
+    )
+
+
 def candidate_quality(scores: DataFrame) -> DataFrame:
     """Dev precision, recall and F1 per label, unrounded, in the order of GROUPS."""
     order = [(i, group, label) for i, (label, group) in enumerate(GROUPS.items())]

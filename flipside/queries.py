@@ -414,6 +414,22 @@ def lr_scores(spark: SparkSession, folder: str) -> DataFrame:
     return logistic_scorer()(corpus(spark, folder), [BASELINE])[0]
 
 
+def _certified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The strength sweep's models by their certificates, and the classes these vouch for."""
+    return decision.certified_scores(corpus(spark, folder), decision.C_SWEEP, BASELINE)
+
+
+@query
+def lr_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return _certified(spark, folder)[1].select("label", "id", "split", "y_true", "y_pred", "certified")
+
+
+@query
+def fit_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    proofs, classes = _certified(spark, folder)
+    return decision.certificate_table(proofs, classes).drop("epsilon", "delta")
+
+
 @query
 def c_sweep(spark: SparkSession, folder: str) -> DataFrame:
     scored = decision.linear_scores(corpus(spark, folder), decision.C_SWEEP, BASELINE)
