@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flipside.operators.joins import fits_broadcast
 from flipside.session import materialize
 
 # Text handed to numpy at once.
 SLICE_BYTES = 4 << 20
 # Number of a written row, apart from any id.
 ROW = "__row"
+OWN_ROW = "__row of the table"
+# A number holds the file above this bit and the row in the file below.
+ROW_BITS = 40
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,8 +86,36 @@ def total_bytes(rows: DataFrame, column: str = "text") -> int:
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """The rows, written with a number of their own in the column ``ROW``."""
-    return materialize(rows.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """The rows with a number of their own in the column ``ROW``, the same each time they are read.
+
+    Rows of a plain scan of files keep their place: the number of the file, then that of the row in it.
+    All others are written first. A column that is called ``ROW`` itself moves to ``OWN_ROW``.
+    """
+    if ROW in rows.columns:
+        rows = rows.withColumnRenamed(ROW, OWN_ROW)
+    if rows._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return materialize(rows.withColumn(ROW, F.monotonically_increasing_id()), name)
+    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+    # One row per file; the driver plans by the same list.
+    number = F.row_number().over(W.orderBy("__file")).cast("bigint")
+    files = materialize(placed.select("__file").distinct().withColumn("__number", number), f"{name}-files")
+    joined = placed.join(F.broadcast(files) if fits_broadcast(files) else files, "__file")
+    return joined.withColumn(ROW, F.shiftleft("__number", ROW_BITS) + F.col(ROW)).drop("__file", "__number")
+
+
+def unnumbered(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Numbered rows under the ``columns`` they came with."""
+    return rows.select(*[F.col(OWN_ROW).alias(ROW) if name == ROW else F.col(name) for name in columns])
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows whose number is not in ``gone``, a written table with the column ``ROW``.
+
+    The numbers are narrow: as long as they are measured to fit, they go to the rows, and no text is
+    shuffled.
+    """
+    gone = gone.select(ROW)
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, ROW, "left_anti")
 
 
 def surplus_rows(members: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, numbered
+from flipside.llm.common import ROW, numbered, texts
 from flipside.operators.joins import lookup_join
 from flipside.session import materialize
 
@@ -187,12 +187,7 @@ def drop_repeated_lines(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """One row ``(doc_id, text, n_lines, n_dropped)`` per document, repeated lines dropped."""
-    rows = numbered(
-        documents.select(
-            F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-        ),
-        "line-rows",
-    )
+    rows = texts(numbered(documents, "line-rows"), id_column, text_column, F.col(ROW))
     batch = batch_of(F.col("id"), batch_borders(rows, batches))
     lines = materialize(line_hashes(rows, min_length).withColumn("batch", batch), "line-hashes", ("batch",))
     repeated = repeated_lines(lines, min_documents, fanout)

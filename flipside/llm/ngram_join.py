@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, Memo, byte_strings, numbered, surplus_rows, texts
+from flipside.llm.common import ROW, Memo, byte_strings, numbered, surplus_rows, texts, unnumbered, without_rows
 from flipside.operators.joins import fits_broadcast, salted_join
 from flipside.session import materialize
 
@@ -507,4 +507,5 @@ def drop_near_copies(documents: DataFrame, id_column: str = "doc_id", text_colum
     groups = materialize(groups, "near-groups")
     members = salted_join(found, groups.drop("n"), ["group"], groups.select("group", "n"), F.col(ROW))
     members = materialize(members, "near-copies")
-    return written.join(surplus_rows(members), ROW, "left_anti").select(documents.columns)
+    gone = materialize(surplus_rows(members), "near-surplus")
+    return unnumbered(without_rows(written, gone), documents.columns)

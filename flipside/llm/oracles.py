@@ -84,12 +84,10 @@ def merkle_sql() -> str:
 ORACLES = {
     "op5_perspective_rotation": perspective.ORACLE_SQL,
     "op6_exact_dedup": """
-        SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256
-        FROM (
-            SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-        )
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op10_cover_tree_search": """
         WITH usable AS (

@@ -84,11 +84,18 @@ def statistics(text: bytes) -> list[float]:
 def statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [statistics(text) for text in byte_strings(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.list_(pa.float64()))], names=["id", "x"])
+        carried = [name for name in batch.schema.names if name != "text"]
+        arrays = [*[batch.column(name) for name in carried], pa.array(values, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*carried, "x"])
 
 
-def document_statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    return texts(documents, id_column, text_column).mapInArrow(statistics_batches, "id bigint, x array<double>")
+def document_statistics(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", number: str | None = None
+) -> DataFrame:
+    """``(id, x)``, and the column ``number`` if one is named, a bigint."""
+    more = [] if number is None else [F.col(number)]
+    kinds = "id bigint, " + ("" if number is None else f"`{number}` bigint, ") + "x array<double>"
+    return texts(documents, id_column, text_column, *more).mapInArrow(statistics_batches, kinds)
 
 
 def rows_of(column: pa.Array) -> np.ndarray:

@@ -1,8 +1,12 @@
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from flipside.llm import exact_dedup, ngram_join, queries
+from flipside.llm.common import ROW, numbered, unnumbered, without_rows
+from flipside.llm.oracles import ORACLES
 from tests.llm.conftest import document_rows
 
 
@@ -97,16 +101,47 @@ def test_near_copies_keep_one_of_each_component(awkward):
 @pytest.mark.parametrize(("keep", "best"), [("largest", max), ("smallest", min)])
 def test_exact_groups(awkward, no_documents, keep, best):
     rows = document_rows()
-    expected = []
+    expected, seen = [], set()
     for doc_id, text in rows:
         group = [other for other, same in rows if (same or "") == (text or "")]
         stays = best((other for other in group if other is not None), default=None)
-        expected.append((doc_id, stays, len(group), doc_id is not None and doc_id == stays))
+        # One row of each text, also where rows repeat or have no id.
+        kept = doc_id == stays and (text or "") not in seen
+        seen |= {text or ""} if kept else set()
+        expected.append((doc_id, stays, len(group), kept))
     found = exact_dedup.exact_groups(awkward, keep=keep)
     assert sorted((tuple(row)[:4] for row in found.collect()), key=str) == sorted(expected, key=str)
     assert exact_dedup.exact_groups(no_documents).count() == 0
 
 
+def test_exact_groups_match_sql_on_repeated_rows(spark, tmp_path):
+    rows = [(5, "a"), (5, "a"), (3, "a"), (None, "n"), (None, "n"), (7, None), (7, ""), (None, ""), (9, "own"), (None, "alone")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op6_exact_dedup"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(ORACLES["op6_exact_dedup"])
+    columns = [c[0] for c in want.description]
+    assert sorted((tuple(row[c] for c in columns) for row in found.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert found.filter("kept").count() == 5
+
+
+def test_rows_are_numbered_by_their_place_in_files(spark, tmp_path):
+    """A scan is not written again; numbers are distinct, and the same at each reading and in any split of the files."""
+    docs = spark.range(500).select(F.col("id"), F.lit("x").alias("__row")).repartition(7)
+    docs.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    rows = numbered(read, "test-rows")
+    first = {row[ROW]: row.id for row in rows.collect()}
+    assert len(first) == 500 and first == {row[ROW]: row.id for row in rows.repartition(3).collect()}
+    assert "test-rows-files" not in "".join(read.inputFiles())
+    back = unnumbered(rows, read.columns)
+    assert back.columns == ["id", "__row"] and {row["__row"] for row in back.collect()} == {"x"}
+    kept = without_rows(rows, rows.filter("id % 5 = 0").select(ROW))
+    assert {row.id for row in kept.collect()} == {i for i in range(500) if i % 5}
+    assert numbered(read.limit(0), "test-rows").count() == 0
+
+
 def test_exact_groups_split_hot_groups_and_hash_collisions(spark, monkeypatch):
     """With a useless hash and tiny pieces the bytes still decide."""
     from pyspark.sql import functions as F
