@@ -1,7 +1,8 @@
 """Corpus preparation in stages: toxicity, quality, exact copies, near copies, packing.
 
 Every stage reads what its predecessor kept and decides for each row by itself, whether its id is
-unique, shared or null: rows are written with a number, and rejected by that number. The filters
+unique, shared or null: rows are numbered by their place in their files, stages decide on narrow tables
+by that number, and the rejected numbers go to the rows, so that no filter shuffles texts. The filters
 learn from the ``labels`` table of the folder and from the texts they are given; the packing packs
 every row.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.llm import exact_dedup, ngram_join, packing, pattern_grammar, quadratic
-from flipside.llm.common import ROW, fold, numbered, read_table, texts
+from flipside.llm.common import ROW, fold, numbered, read_table, texts, unnumbered, without_rows
 from flipside.session import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,28 +28,23 @@ def in_training(doc_id: Column) -> Column:
     return fold(doc_id, 3) != 1
 
 
-def without(written: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The written rows, all columns but their number, whose number is no ``doc_id`` of the rejected."""
-    return written.join(rejected.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
-    written = numbered(docs, "toxicity-rows")
-    model = pattern_grammar.fit_grammar(texts(written), labels, in_training(F.col("id")))
-    scores = pattern_grammar.score_texts(model, texts(written, ROW))
-    return without(written, scores.filter(F.col("score") >= TOXIC_FROM))
+    rows = numbered(docs, "toxicity-rows")
+    model = pattern_grammar.fit_grammar(texts(rows), labels, in_training(F.col("id")))
+    scores = pattern_grammar.score_texts(model, texts(rows, ROW)).withColumnRenamed("doc_id", ROW)
+    gone = materialize(scores.filter(F.col("score") >= TOXIC_FROM).select(ROW), "toxic")
+    return unnumbered(without_rows(rows, gone), docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
-    written = numbered(docs, "quality-rows")
-    vectors = materialize(quadratic.document_statistics(written, ROW), "statistics")
-    ids = written.select(ROW, F.col("doc_id").cast("bigint").alias("id"))
-    named = vectors.withColumnRenamed("id", ROW).join(ids, ROW).select("id", "x")
-    model = quadratic.fit_quality(named, labels, in_training(F.col("id")))
-    scores = quadratic.score_vectors(model, vectors)
-    return without(written, scores.filter(F.col("score") < GOOD_FROM))
+    rows = numbered(docs, "quality-rows")
+    vectors = materialize(quadratic.document_statistics(rows, number=ROW), "statistics")
+    model = quadratic.fit_quality(vectors.select("id", "x"), labels, in_training(F.col("id")))
+    scores = quadratic.score_vectors(model, vectors.select(F.col(ROW).alias("id"), "x")).withColumnRenamed("doc_id", ROW)
+    gone = materialize(scores.filter(F.col("score") < GOOD_FROM).select(ROW), "poor")
+    return unnumbered(without_rows(rows, gone), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
