@@ -44,6 +44,11 @@ def mean_log_odds_scores(
     joined = lookup_join(
         tf, log_odds, [*by, "term"], terms.select(*by, "term", "n"), F.col("id"), how="left", source=terms
     )
+    return mean_scores(joined, by)
+
+
+def mean_scores(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The scores from term rows with their ``log_odds``, null for a term the model does not know."""
     known = F.when(F.col("log_odds").isNotNull(), F.col("tf"))
     mean = F.sum(F.col("tf") * F.col("log_odds")) / F.nullif(F.sum(known), F.lit(0))
     scored = joined.groupBy(*by, "id", "target", "split").agg(

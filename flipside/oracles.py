@@ -365,6 +365,50 @@ classes AS (
 )"""
 ).replace("WITH", "WITH RECURSIVE", 1)
 
+FOLD = "CAST(CAST('0x' || substr(md5('fold:' || CAST(id AS VARCHAR)), 1, 6) AS BIGINT) % 5 AS INTEGER)"
+FOLD_DOCS = f""",
+folded AS (SELECT *, CASE WHEN split = 'train' THEN {FOLD} ELSE -1 END AS fold FROM docs)"""
+
+# Each fold's model is counted anew from the rows of train outside the fold.
+OUT_OF_FOLD = (
+    DOCS
+    + token_rows(PLAIN)
+    + FOLD_DOCS
+    + """,
+mass AS (
+  SELECT m.fold, term, sum(CASE WHEN tf.target = 1 THEN tf ELSE 0 END) AS c1, sum(CASE WHEN tf.target = 0 THEN tf ELSE 0 END) AS c0
+  FROM tf JOIN folded f USING (id) JOIN (SELECT DISTINCT fold FROM folded) m ON m.fold <> f.fold
+  WHERE f.split = 'train' GROUP BY m.fold, term
+),
+totals AS (SELECT fold, sum(c1) AS n1, sum(c0) AS n0, count(*) AS v FROM mass GROUP BY fold),
+odds AS (
+  SELECT fold, term, ln((c1 + 1.0::DOUBLE) / (n1 + v)) - ln((c0 + 1.0::DOUBLE) / (n0 + v)) AS lo FROM mass JOIN totals USING (fold)
+),
+means AS (
+  SELECT f.id, sum(tf * lo) / sum(tf) AS m FROM folded f JOIN tf ON tf.id = f.id JOIN odds o ON o.fold = f.fold AND o.term = tf.term GROUP BY f.id
+),
+scores AS (
+  SELECT f.fold, f.id, f.split, f.keyword, f.target AS y_true, 1 / (1 + exp(-coalesce(m, 0))) AS score
+  FROM folded f LEFT JOIN means USING (id)
+)"""
+)
+# One setting per model: that of all folds, and that without each fold.
+FOLD_OPTIMA = (
+    OPTIMA.replace(
+        "train AS (SELECT id, target, row_number() OVER (ORDER BY id) AS i FROM docs WHERE split = 'train')",
+        FOLD_DOCS.lstrip(",") + ",\ntrain AS (SELECT id, target, fold, row_number() OVER (ORDER BY id) AS i FROM folded WHERE split = 'train')",
+    )
+    .replace(OPTIMA[OPTIMA.index("  SELECT position, label, 1 / (c * n)") : OPTIMA.index("),\nsolve AS")], """  SELECT m.fold AS label, 1 / (3.0::DOUBLE * count(*)) AS ridge, count(*) AS n, 1.9::DOUBLE AS eta, (SELECT count(*) FROM train) AS size
+  FROM (SELECT DISTINCT fold FROM folded) m JOIN train t ON t.fold <> m.fold GROUP BY m.fold
+""")
+    .replace("SELECT label, ridge, eta, n,", "SELECT label, ridge, eta, n, size,")
+    .replace("range(n)", "range(size)")
+    .replace("GROUP BY label, ridge, eta, n,", "GROUP BY label, ridge, eta, n, size,")
+    .replace("any_value(eta) * avg(miss)", "any_value(eta) * sum(miss) / n")
+    .replace("1 / (1 + exp(-(list_dot_product(k.k, s.y) + s.yb))) - t.target AS miss", "CASE WHEN t.fold = s.label THEN 0 ELSE 1 / (1 + exp(-(list_dot_product(k.k, s.y) + s.yb))) - t.target END AS miss")
+    .replace("FROM solve s CROSS JOIN docs d JOIN", "FROM solve s JOIN folded d ON d.fold = s.label JOIN")
+)
+
 ORACLES: dict[str, str] = {
     "corpus_scan": "WITH " + LABELLED + " SELECT id, nullif(keyword, 'es') AS keyword, location, text, target FROM labelled",
     "predictions_block": scored(PLAIN) + block("ticket-1-baseline", "0.3"),
@@ -590,6 +634,10 @@ FROM gaps ORDER BY abs(heldout_gap_vs_reference), position LIMIT 1""",
     + """ SELECT upper(sha256(k)) AS group_key, row_number() OVER (PARTITION BY k ORDER BY id, target) AS place,
   id, target AS label FROM lines JOIN conflicts USING (k)""",
     "likely_mislabels": scored(PLAIN) + MISLABELS + " SELECT * FROM mislabels",
+    "oof_scores": OUT_OF_FOLD
+    + f""" SELECT fold, id, split, y_true, round(score, 6) AS score, CAST(score >= {CUT} AS INTEGER) AS y_pred FROM scores""",
+    "oof_classes": FOLD_OPTIMA + " SELECT label AS fold, id, split, y_true, y_pred, true AS certified FROM classes",
+    "likely_mislabels_oof": OUT_OF_FOLD + MISLABELS.replace("'NB ", "'NB out of fold ") + " SELECT * FROM mislabels",
     "audit_table": AUDIT + " SELECT * FROM audit",
     "audit_summary": AUDIT + " SELECT issue_type, disposition, count(*) AS n FROM audit GROUP BY ALL",
     "review_overlay": AUDIT

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flipside.operators.bayes import fit_weighted_bayes, weighted_bayes_scores
 from flipside.operators.features import idf_table, text_vectors, tfidf
+from flipside.operators.folds import FOLDS, NO_FOLD, with_folds
 from flipside.operators.linear import Candidate, LinearModel, certificates, fit_linear, predict
 from flipside.operators.metrics import best_row, confusion, prf, threshold_sweep
 from flipside.operators.splits import FrozenDecision, open_splits
@@ -65,6 +68,23 @@ def certified_scores(
     return proofs, materialize(predict(vectors, models, proofs=proofs).drop("feature_set"), "scores")
 
 
+def out_of_fold_classes(documents: DataFrame, candidate: Candidate, variant: TextVariant = STRIP_URLS, folds: int = FOLDS) -> DataFrame:
+    """Written scores in which no training row was fitted by its model: ``fold, id, split, y_true, score, y_pred,
+    certified``. Rows outside train are scored by the model of all folds.
+
+    All models share one table of vectors; terms and their weights, which no label enters, come from all of train.
+    """
+    tf, terms = variant_terms(documents, [variant])
+    vectors = text_vectors(tf.drop("variant"), terms.drop("variant"), documents)
+    vectors = with_folds(vectors, folds)
+    each = {fold: replace(candidate, label=f"{candidate.label} without {fold}", leave_out=fold) for fold in range(folds)}
+    models = fit_linear(vectors.filter("split = 'train'"), (candidate, *each.values()))
+    scored = predict(vectors, models, proofs=certificates(models))
+    own = F.create_map(*[F.lit(x) for fold, one in {NO_FOLD: candidate, **each}.items() for x in (fold, one.label)])
+    found = with_folds(scored, folds).filter(F.col("label") == own[F.col("fold")])
+    return materialize(found.drop("feature_set", "label"), "scores")
+
+
 def certificate_table(proofs: DataFrame, scores: DataFrame) -> DataFrame:
     """Per model: rows fitted and scored, positive classes, and classes its certificate leaves open."""
     counts = scores.groupBy("label").agg(

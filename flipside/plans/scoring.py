@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.operators.bayes import mean_log_odds_scores, predict_at, token_log_odds
-from flipside.operators.features import counted_terms, fit_terms, text_vectors
+from flipside.operators.bayes import mean_log_odds_scores, mean_scores, predict_at, token_log_odds
+from flipside.operators.features import NO_TERM, counted_terms, fit_terms, text_vectors
+from flipside.operators.folds import FOLDS, complement_log_odds, fold_statistics, out_of_fold_join, with_folds
 from flipside.operators.linear import Candidate, fit_linear, predict
 from flipside.plans.variants import TextVariant, count_variants
 from flipside.session import materialize
@@ -43,6 +44,17 @@ def bayes_scorer(threshold: float = 0.30) -> Scorer:
     return score
 
 
+def out_of_fold_scores(documents: DataFrame, variant: TextVariant, threshold: float = 0.30, folds: int = FOLDS) -> DataFrame:
+    """Written Bayes scores in which no training row was seen by its model:
+    ``fold, id, split, y_true, score, y_pred``."""
+    foldless = materialize(count_variants(documents, [variant]), "counts")
+    tf = with_folds(counted_terms(foldless, F.col("counts"), keep_empty=True), folds)
+    statistics = fold_statistics(tf)
+    joined = out_of_fold_join(tf, complement_log_odds(statistics.filter(F.col("term") != NO_TERM)), statistics)
+    scores = predict_at(mean_scores(joined, ["fold"]), threshold)
+    return materialize(scores.select("fold", "id", "split", "y_true", "score", "y_pred"), "scores")
+
+
 def logistic_scorer(c: float = 1.0, max_iter: int = 100) -> Scorer:
     def score(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
         tf, terms = variant_terms(documents, variants)

@@ -19,7 +19,7 @@ from flipside.operators import metrics as M
 from flipside.operators import profile
 from flipside.operators import splits as SP
 from flipside.plans import decision, normalization, probes, quality, shortcuts
-from flipside.plans.scoring import bayes_scorer, logistic_scorer, variant_terms
+from flipside.plans.scoring import bayes_scorer, logistic_scorer, out_of_fold_scores, variant_terms
 from flipside.plans.variants import (
     BASELINE,
     NGRAM_VARIANTS,
@@ -663,6 +663,24 @@ def likely_mislabels_lr(spark: SparkSession, folder: str) -> DataFrame:
     return quality.audit(web_corpus(spark, folder))
 
 
+@query
+def likely_mislabels_oof(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus(spark, folder)
+    scored = quality.with_keyword(out_of_fold_scores(rows, BASELINE, CUT), rows)
+    return A.likely_mislabels(scored, LOW_SCORE, HIGH_SCORE, 0.20, 0.40, "NB out of fold")
+
+
+@query
+def oof_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return out_of_fold_scores(corpus(spark, folder), BASELINE, CUT).withColumn("score", shown("score"))
+
+
+@query
+def oof_classes(spark: SparkSession, folder: str) -> DataFrame:
+    scored = decision.out_of_fold_classes(corpus(spark, folder), quality.AUDIT_MODEL, BASELINE)
+    return scored.select("fold", "id", "split", "y_true", "y_pred", "certified")
+
+
 @query
 def audit_table(spark: SparkSession, folder: str) -> DataFrame:
     return _audit(spark, folder)
