@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, Memo, byte_strings, numbered, surplus_rows, texts, unnumbered, without_rows
+from flipside.llm.common import ROW, Memo, byte_slices, byte_strings, lean, numbered, surplus_rows, texts, unnumbered, without_rows
 from flipside.operators.joins import fits_broadcast, salted_join
 from flipside.session import materialize
 
@@ -94,20 +94,32 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Per document the size, digest and bitmap of its set, and the shingles many of the batch share."""
     shingler = Shingler()
     for batch in batches:
-        sets = [shingler.shingles(text) for text in byte_strings(batch.column("text"))]
-        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(found.tobytes()) for found in sets]), np.int64)
+        sets, digests, bits = [], [], []
+        for piece in byte_slices(batch, "text"):
+            for text in byte_strings(piece.column("text")):
+                sets.append(shingler.shingles(text))
+                digests.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
+                bits.append(bitmap(sets[-1]))
+        sizes = [len(own) for own in sets]
         every = np.concatenate([np.zeros(0, np.uint64), *sets])
-        found, counts = np.unique(every, return_counts=True)
+        del sets
+        # Sorted in place: the sets of a batch are large.
+        every.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+        counts = np.diff(np.append(starts, len(every)))
         common = counts >= COMMON_IN_BATCH
-        n, m = batch.num_rows, int(common.sum())
+        shared, times = every[starts[common]], counts[common]
+        del every, starts, counts
+        n, m = batch.num_rows, len(shared)
+        keys = np.frombuffer(b"".join(digests), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.ones(m, np.int32))]),
-                pa.concat_arrays([batch.column("id"), signed(found[common])]),
-                pa.array(np.concatenate([[len(own) for own in sets], counts[common]]).astype(np.int64)),
-                pa.concat_arrays([pa.array(digests[::2]), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([pa.array(digests[1::2]), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([pa.array([bitmap(own) for own in sets], pa.binary()), pa.nulls(m, pa.binary())]),
+                pa.concat_arrays([batch.column("id"), signed(shared)]),
+                pa.array(np.concatenate([sizes, times]).astype(np.int64)),
+                pa.concat_arrays([pa.array(keys[::2]), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(keys[1::2]), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(m, pa.binary())]),
             ],
             names=["kind", "id", "n", "k1", "k2", "bits"],
         )
@@ -382,7 +394,7 @@ def candidates(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFr
     listed = common.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_LEAST)
     listed = listed.orderBy(F.desc("n"), "id").limit(COMMON_LIST).collect()
     rarest_first = np.array([row["id"] for row in reversed(listed)], np.int64).view(np.uint64)
-    prefixes = rows.filter("id IS NOT NULL").mapInArrow(prefix_batches(rarest_first), PREFIX_SCHEMA)
+    prefixes = rows.filter("id IS NOT NULL").mapInArrow(lean(prefix_batches(rarest_first)), PREFIX_SCHEMA)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
         prefixes.repartition(partitions, "shingle")
@@ -466,7 +478,7 @@ def links_across(rows: DataFrame, shared: DataFrame, signatures: DataFrame, reac
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row."""
     rows = texts(documents, id_column, text_column)
-    listed = materialize(rows.mapInArrow(digest_batches, DIGEST_SCHEMA), "digests", ("kind",))
+    listed = materialize(rows.mapInArrow(lean(digest_batches), DIGEST_SCHEMA), "digests", ("kind",))
     digests = listed.filter("kind = 0").select("id", "n", "k1", "k2")
     common = listed.filter("kind = 1").select("id", "n")
     classes = digests.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import Memo, byte_strings, texts
+from flipside.llm.common import byte_strings, lean, Memo, texts
 from flipside.session import materialize
 
 # Most labelled documents of a class that the lexicon and the curve are fitted on.
@@ -309,4 +309,4 @@ def score_texts(model: ToxicGrammar, rows: DataFrame) -> DataFrame:
                 names=["doc_id", "score", "n_clauses"],
             )
 
-    return rows.mapInArrow(score, "doc_id bigint, score double, n_clauses int")
+    return rows.mapInArrow(lean(score), "doc_id bigint, score double, n_clauses int")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import byte_strings, texts
+from flipside.llm.common import byte_strings, lean, texts
 from flipside.session import materialize
 
 SHRINKAGE = 0.1
@@ -95,7 +95,7 @@ def document_statistics(
     """``(id, x)``, and the column ``number`` if one is named, a bigint."""
     more = [] if number is None else [F.col(number)]
     kinds = "id bigint, " + ("" if number is None else f"`{number}` bigint, ") + "x array<double>"
-    return texts(documents, id_column, text_column, *more).mapInArrow(statistics_batches, kinds)
+    return texts(documents, id_column, text_column, *more).mapInArrow(lean(statistics_batches), kinds)
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
