@@ -12,10 +12,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.operators.bayes import mean_log_odds_scores, mean_scores, predict_at, token_log_odds
+from flipside.operators.bayes import mean_scores, predict_at
 from flipside.operators.features import NO_TERM, counted_terms, fit_terms, text_vectors
 from flipside.operators.folds import FOLDS, complement_log_odds, fold_statistics, out_of_fold_join, with_folds
 from flipside.operators.linear import Candidate, fit_linear, predict
+from flipside.plans.deltas import delta_counts, delta_margins, delta_scores, delta_statistics, full_statistics, variant_totals
 from flipside.plans.variants import TextVariant, count_variants
 from flipside.session import materialize
 
@@ -36,10 +37,14 @@ def variant_terms(documents: DataFrame, variants: Sequence[TextVariant]) -> tupl
 
 
 def bayes_scorer(threshold: float = 0.30) -> Scorer:
+    """Scores every variant by its difference from the first; only the differences are written."""
+
     def score(documents: DataFrame, variants: Sequence[TextVariant]) -> tuple[DataFrame, DataFrame]:
-        tf, terms = variant_terms(documents, variants)
-        scores = mean_log_odds_scores(tf, token_log_odds(terms, ["variant"]), terms, ["variant"])
-        return materialize(predict_at(scores, threshold).select(*SCORE_COLUMNS), "scores"), terms
+        counted = delta_counts(documents, variants)
+        terms, changed = delta_statistics(counted)
+        totals = materialize(variant_totals(terms, changed, variants), "variant-totals")
+        scores = delta_scores(delta_margins(counted, terms, changed), totals)
+        return predict_at(scores, threshold).select(*SCORE_COLUMNS), full_statistics(terms, changed, variants)
 
     return score
 
