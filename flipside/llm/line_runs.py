@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from flipside.llm.common import ROW, numbered, texts
 from flipside.operators.joins import lookup_join
-from flipside.session import materialize
+from flipside.session import materialize, scratch_path
 
 BLANK = " \t\n\x0b\x0c\r"
 BATCHES = 8
@@ -71,7 +71,7 @@ class LineRuns:
         name = f"{self.name}_{self.written}"
         self.written += 1
         dealt = records.repartition(self.buckets, "hash").sortWithinPartitions("hash")
-        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
+        dealt.write.option("compression", "none").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -143,6 +143,14 @@ def line_hashes(rows: DataFrame, min_length: int) -> DataFrame:
     return rows.select(ROW, "id", hashed.alias("lines"))
 
 
+def written_lines(lines: DataFrame) -> DataFrame:
+    """The rows as a table with one folder per batch. Hashes do not compress, and a compressor holds
+    buffers outside the heap for every column of every folder."""
+    path = scratch_path(lines.sparkSession, "line-hashes")
+    lines.write.partitionBy("batch").option("compression", "none").parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+
+
 def batch_borders(rows: DataFrame, batches: int) -> list[int]:
     """Descending ids that cut the rows into about equal batches; fewer if ids are few."""
     shares = [1 - place / batches for place in range(1, batches)]
@@ -189,7 +197,7 @@ def drop_repeated_lines(
     """One row ``(doc_id, text, n_lines, n_dropped)`` per document, repeated lines dropped."""
     rows = texts(numbered(documents, "line-rows"), id_column, text_column, F.col(ROW))
     batch = batch_of(F.col("id"), batch_borders(rows, batches))
-    lines = materialize(line_hashes(rows, min_length).withColumn("batch", batch), "line-hashes", ("batch",))
+    lines = written_lines(line_hashes(rows, min_length).withColumn("batch", batch))
     repeated = repeated_lines(lines, min_documents, fanout)
     held = lines.select(ROW, "id", F.explode("lines").alias("line")).select(ROW, "id", "line.place", "line.hash")
     counts = held.groupBy("hash").agg(F.count("*").alias("n"))
