@@ -68,12 +68,27 @@ def byte_strings(column: pa.Array) -> list[bytes]:
 Batches = Iterator[pa.RecordBatch]
 
 
-def give_back() -> None:
+def trim() -> None:
     """Hand what a Python worker has freed back to the system; a later stage may reuse the worker."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def give_back() -> None:
+    gc.collect()
+    trim()
+
+
+def lean_group(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group, which gives back what it used."""
+
+    def run(table: pa.Table) -> pa.Table:
+        result = function(table)
+        trim()
+        return result
+
+    return run
 
 
 def lean(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, Memo, byte_slices, byte_strings, lean, numbered, surplus_rows, texts, unnumbered, without_rows
+from flipside.llm.common import ROW, Memo, byte_slices, byte_strings, lean, lean_group, numbered, surplus_rows, texts, unnumbered, without_rows
 from flipside.operators.joins import fits_broadcast, salted_join
 from flipside.session import materialize
 
@@ -380,7 +380,7 @@ def read_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.distinct()
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, "id", "left_semi").mapInArrow(emit, "id bigint, shingles binary")
+    return rows.join(wanted, "id", "left_semi").mapInArrow(lean(emit), "id bigint, shingles binary")
 
 
 def tile_of(total: Column) -> Column:
@@ -399,7 +399,7 @@ def candidates(rows: DataFrame, classes: DataFrame, common: DataFrame) -> DataFr
     shared = (
         prefixes.repartition(partitions, "shingle")
         .sortWithinPartitions("shingle", "n", "k1", "k2")
-        .mapInArrow(shared_rows, PREFIX_SCHEMA)
+        .mapInArrow(lean(shared_rows), PREFIX_SCHEMA)
     )
     shared = materialize(shared, "shared-shingles")
     return materialize(shared.join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("shingle", "id", "n", "rest"), "candidates")
@@ -416,10 +416,10 @@ def links_in_bands(rows: DataFrame, shared: DataFrame, signatures: DataFrame) ->
     tiled = salted_join(meet, sizes, ["lead"], sizes, F.col("id")).withColumn("tile", tile_of(F.col("n")))
     leads = sizes.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / TILE).cast("int") - 1)))
     tiled = tiled.select("lead", "tile", "id").unionByName(leads.select("lead", "tile", F.col("lead").alias("id")))
-    passed = tiled.join(signatures, "id").groupBy("lead", "tile").applyInArrow(passing_inside, "lead bigint, tile int, id bigint")
+    passed = tiled.join(signatures, "id").groupBy("lead", "tile").applyInArrow(lean_group(passing_inside), "lead bigint, tile int, id bigint")
     passed = materialize(passed, "passed")
     sets = read_sets(rows, passed.select("id"))
-    found = passed.join(sets, "id").groupBy("lead", "tile").applyInArrow(links_inside, "a bigint, b bigint")
+    found = passed.join(sets, "id").groupBy("lead", "tile").applyInArrow(lean_group(links_inside), "a bigint, b bigint")
     return materialize(found, "links")
 
 
@@ -467,11 +467,11 @@ def links_across(rows: DataFrame, shared: DataFrame, signatures: DataFrame, reac
     )
     tile = ["host", "host_tile", "visitor_tile"]
     passed = hosts.unionByName(visitors).join(signatures, "id").groupBy(*tile).applyInArrow(
-        passing_between, "host bigint, host_tile int, visitor_tile int, visitor bigint, id bigint"
+        lean_group(passing_between), "host bigint, host_tile int, visitor_tile int, visitor bigint, id bigint"
     )
     passed = materialize(passed, "passed")
     sets = read_sets(rows, passed.select("id"))
-    found = passed.join(sets, "id").groupBy(*tile).applyInArrow(links_between, "a bigint, b bigint")
+    found = passed.join(sets, "id").groupBy(*tile).applyInArrow(lean_group(links_between), "a bigint, b bigint")
     return materialize(found, "links")
 
 
