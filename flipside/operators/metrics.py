@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flipside.functions.rounding import round_half_even
+
 # 0.20 to 0.70 in steps of 0.05.
 THRESHOLDS = tuple(k / 100 for k in range(20, 71, 5))
 
@@ -101,10 +103,10 @@ def best_row(
 ) -> DataFrame:
     """The row with the highest metric, the first by position among equals.
 
-    The choice is made on the metric rounded to four digits, as published tables show it;
-    ``digits=None`` compares the exact values.
+    The choice is made on the metric rounded to four digits, half to even by its exact value, as published
+    tables show it; ``digits=None`` compares the exact values.
     """
-    value = F.col(metric) if digits is None else F.round(metric, digits)
+    value = F.col(metric) if digits is None else round_half_even(F.col(metric), digits)
     best_first = (value.desc(), F.col(position).asc())
     if not by:
         return table.orderBy(*best_first).limit(1)

@@ -37,6 +37,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters the fixtures need: their scores lie between 0.15 and 0.72.
 CUT = 0.30
 LOW_SCORE, HIGH_SCORE = 0.25, 0.30
+# Ticket names as published.
 TICKETS = ("ticket-1-baseline", "ticket-2-normalization")
 WIDE_EDGES = (0, 500, 1000, 2000, 4000)
 FIXTURE_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}

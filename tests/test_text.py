@@ -11,6 +11,7 @@ from flipside.functions import normalize as N
 from flipside.functions import patterns as P
 from flipside.functions import surface as S
 from flipside.functions.references import unescape
+from flipside.functions.rounding import round_half_even
 from flipside.functions.terms import term_counts, tokens, with_bigrams
 
 EMOJI = re.compile(re.sub(r"\\x\{(\w+)\}", lambda code: chr(int(code[1], 16)), P.EMOJI))
@@ -185,3 +186,26 @@ def test_counts_and_bigrams(rows):
         grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
         assert {e.term: e.tf for e in got or []} == {g: grams.count(g) for g in grams}
         assert len(got or []) == len(set(grams))
+
+
+def test_rounding_equals_python_on_a_million_values(spark):
+    """Ties in decimal, ties in binary, signs, and values of any size."""
+    kind = F.pmod(F.col("id"), F.lit(5))
+    tie = (F.floor(F.col("id") / 5) + 0.5) / 10000.0
+    value = (
+        F.when(kind == 0, tie)
+        .when(kind == 1, -tie / 7.0)
+        .when(kind == 2, F.rand(1))
+        .when(kind == 3, F.floor(F.rand(2) * 100000) / F.lit(2.0 ** 17))
+        .otherwise(F.randn(3) * 1000)
+    )
+    rows = spark.range(1_000_000).select(value.alias("x"))
+    found = rows.select("x", *[round_half_even(F.col("x"), d).alias(f"d{d}") for d in (0, 2, 4, 9)]).toPandas()
+    for digits in (0, 2, 4, 9):
+        assert found[f"d{digits}"].tolist() == [round(x, digits) for x in found["x"].tolist()]
+
+
+def test_rounding_of_values_without_digits(spark):
+    values = [2.675, 0.5, 1.5, -0.5, 2.0**60, float("inf"), None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(round_half_even(F.col("x"), 0).alias("r"), round_half_even(F.col("x"), 2).alias("s"))
+    assert [tuple(r) for r in rows.collect()] == [(3.0, 2.67), (0.0, 0.5), (2.0, 1.5), (0.0, -0.5), (2.0**60, 2.0**60), (float("inf"),) * 2, (None, None)]
