@@ -78,6 +78,10 @@ class Workspace:
                 raise
             return None
 
+    def freeze(self, frozen: FrozenDecision) -> FrozenDecision:
+        """Record a decision, before anything is scored under it."""
+        return L.record_decision(self.spark, self.summary, frozen)
+
     def record(
         self, block: DataFrame, baseline: DataFrame | None, dev_f1: DataFrame, frozen: FrozenDecision
     ) -> None:
@@ -96,7 +100,7 @@ def run_baseline(work: Workspace) -> None:
     documents = work.documents()
     work.save(split_balance(documents), "split_balance")
     scores, _ = logistic_scorer()(documents, [BASELINE])
-    frozen = FrozenDecision(*TICKETS["baseline"], "adopt_plain_default", "plain default kept")
+    frozen = work.freeze(FrozenDecision(*TICKETS["baseline"], "adopt_plain_default", "plain default kept"))
     work.record(normalization.predictions_block(scores, frozen), None, _dev_f1(scores), frozen)
 
 
@@ -132,7 +136,7 @@ def run_freeze(work: Workspace) -> None:
     metric is the one the decision was made on, read back from the stored sweep."""
     documents = work.documents()
     scores, _ = logistic_scorer()(documents, [BASELINE, STRIP_URLS])
-    frozen = FrozenDecision(*TICKETS["freeze"], "adopt_strip_urls", "strips URLs; chosen on dev")
+    frozen = work.freeze(FrozenDecision(*TICKETS["freeze"], "adopt_strip_urls", "strips URLs; chosen on dev"))
     plain = scores.filter(F.col("variant") == BASELINE.label)
     stripped = scores.filter(F.col("variant") == STRIP_URLS.label)
     baseline = open_splits(plain, ["heldout"], frozen)
@@ -166,7 +170,7 @@ def run_decision(work: Workspace) -> None:
     table, combo = decision.candidate_table(linear, decision.naive_bayes_scores(documents))
     table = materialize(table, "candidates")
     work.save(table, "ticket4_dev")
-    frozen = decision.freeze_combo(ticket, model_name, table, combo)
+    frozen = work.freeze(decision.freeze_combo(ticket, model_name, table, combo))
     block = normalization.predictions_block(combo, frozen)
     dev_f1 = table.filter("group = 'combo'").select("dev_f1_target_1")
     work.record(block, work.stored_block("freeze"), dev_f1, frozen)

@@ -1,11 +1,21 @@
-"""Sinks: result tables, and ledgers in which every ticket owns its own partition."""
+"""Sinks: result tables, and ledgers in which every ticket owns its own partition.
+
+A ledger keeps every block a ticket has written as a version of its own. A commit record, written after
+the block, names the version that counts: a run that breaks off in between leaves the earlier block in
+force. Superseded versions stay where they are until the folder is cleaned up. Decisions are recorded
+before held-out rows are scored, and a ticket keeps the first one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flipside.operators.splits import FrozenDecision, SplitError
 from flipside.sources.corpus import CSV_OPTIONS
 
 PREDICTIONS_SCHEMA = T.StructType(
@@ -50,15 +60,58 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+COMMITS = "ticket string, version string, number bigint"
+DECISIONS = "ticket string, model_name string, decision string, reason string, threshold double"
+
+
+def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A ledger's own records, none if nothing has been recorded yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_version(block: DataFrame, path: str, ticket: str) -> str:
+    """Write a block of ``ticket`` beside its earlier ones; it does not count until it is committed."""
+    strange = F.when(~F.col("ticket").eqNullSafe(F.lit(ticket)), F.raise_error(F.lit("a row of another ticket")))
+    rows = block.filter(F.coalesce(strange.cast("boolean"), F.lit(True)))
+    version = uuid.uuid4().hex
+    rows.drop("ticket").write.parquet(f"{path}/ticket={ticket}/version={version}")
+    return version
+
+
+def commit_version(spark: SparkSession, path: str, ticket: str, version: str) -> None:
+    """Make a written version the one that counts."""
+    commits = _records(spark, f"{path}/_commits", COMMITS).filter(F.col("ticket") == ticket)
+    number = commits.agg(F.coalesce(F.max("number"), F.lit(0)) + 1).first()[0]
+    record = spark.createDataFrame([(ticket, version, number)], COMMITS)
+    record.coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+
+
 def replace_in_ledger(block: DataFrame, path: str, ticket: str) -> None:
     """Replace whatever ``ticket`` wrote before by ``block``, which may be empty.
 
-    The ledger is partitioned by ticket and only this ticket's partition is overwritten, so other
-    tickets' rows are neither read nor rewritten. Rows of other tickets in the block are refused.
+    Other tickets' rows are neither read nor rewritten. Rows of other tickets in the block are refused.
     """
-    strange = F.when(~F.col("ticket").eqNullSafe(F.lit(ticket)), F.raise_error(F.lit("a row of another ticket")))
-    rows = block.filter(F.coalesce(strange.cast("boolean"), F.lit(True)))
-    rows.drop("ticket").write.mode("overwrite").parquet(f"{path}/ticket={ticket}")
+    commit_version(block.sparkSession, path, ticket, write_version(block, path, ticket))
+
+
+def record_decision(spark: SparkSession, path: str, frozen: FrozenDecision) -> FrozenDecision:
+    """Write down a ticket's decision before held-out rows are scored for it.
+
+    The same decision may be recorded again, for a re-run; another one for the same ticket is refused.
+    """
+    known = _records(spark, f"{path}/_decisions", DECISIONS).filter(F.col("ticket") == frozen.ticket).collect()
+    for row in known:
+        if (row.model_name, row.decision, row.threshold) != (frozen.model_name, frozen.decision, frozen.threshold):
+            raise SplitError(f"{frozen.ticket} was frozen as {row.decision} of {row.model_name}; held-out rows are scored once")
+    if not known:
+        row = (frozen.ticket, frozen.model_name, frozen.decision, frozen.reason, frozen.threshold)
+        spark.createDataFrame([row], DECISIONS).coalesce(1).write.mode("append").parquet(f"{path}/_decisions")
+    return frozen
 
 
 def stored_metric(table: DataFrame, metric: str, **where: object) -> DataFrame:
@@ -72,9 +125,12 @@ def stored_metric(table: DataFrame, metric: str, **where: object) -> DataFrame:
 def read_ledger(
     spark: SparkSession, path: str, schema: T.StructType, ticket: str | None = None
 ) -> DataFrame:
-    ledger = spark.read.schema(schema).parquet(path)
+    versioned = T.StructType([*schema.fields, T.StructField("version", T.StringType())])
+    ledger = spark.read.schema(versioned).parquet(path)
+    current = _records(spark, f"{path}/_commits", COMMITS).groupBy("ticket").agg(F.max_by("version", "number").alias("version"))
     rows = ledger if ticket is None else ledger.filter(F.col("ticket") == ticket)
-    return rows.select(*schema.names)
+    # One row per ticket.
+    return rows.join(F.broadcast(current), ["ticket", "version"], "left_semi").select(*schema.names)
 
 
 def ledger_drift(stored: DataFrame, current: DataFrame) -> DataFrame:

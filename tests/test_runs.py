@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flipside import __main__ as command
+from flipside.operators.splits import FrozenDecision, SplitError
 from flipside.plans import runs
 from flipside.queries import corpus
 from flipside.session import scratch_path
@@ -78,6 +79,34 @@ def test_an_empty_rerun_leaves_no_row_of_its_ticket(spark, tmp_path):
         L.replace_in_ledger(block, path, "b")
 
 
+def test_a_run_that_breaks_off_leaves_the_earlier_block(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    block = lambda label: spark.createDataFrame([(1, 1, label, 0.5, "m", "a")], L.PREDICTIONS_SCHEMA)
+    L.write_version(block(0), path, "a")
+    assert L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA).count() == 0
+    L.replace_in_ledger(block(0), path, "a")
+    version = L.write_version(block(1), path, "a")
+    assert [row.y_pred for row in L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA, "a").collect()] == [0]
+    L.commit_version(spark, path, "a", version)
+    assert [row.y_pred for row in L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA, "a").collect()] == [1]
+    # A write that fails half way is never committed.
+    bad = block(2).withColumn("y_pred", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        L.replace_in_ledger(bad, path, "a")
+    assert [row.y_pred for row in L.read_ledger(spark, path, L.PREDICTIONS_SCHEMA, "a").collect()] == [1]
+
+
+def test_held_out_rows_are_scored_under_one_decision(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = FrozenDecision("t", "m", "adopt", "because", 0.45)
+    assert L.record_decision(spark, path, first) == first
+    L.record_decision(spark, path, FrozenDecision("t", "m", "adopt", "said otherwise", 0.45))
+    L.record_decision(spark, path, FrozenDecision("other", "m", "adopt", "", None))
+    for second in (FrozenDecision("t", "m", "adopt", "because", 0.5), FrozenDecision("t", "n", "adopt", "because", 0.45)):
+        with pytest.raises(SplitError, match="scored once"):
+            L.record_decision(spark, path, second)
+
+
 def test_a_stored_metric_needs_one_row(spark):
     table = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("b", 0.75)], "variant string, f1 double")
     assert L.stored_metric(table, "f1", variant="a").first().f1 == 0.5
