@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer rewrites tokens as symbols (insult, threat, target, negation, reported speech,
-clause end) with weights; four clause transducers, composed into one machine, then read the symbols
-and scale the weight of every harm by what surrounds it: negated and reported harms count less,
-harms near a target more. A clause without a harm is not matched and adds nothing. The sum over
-matched clauses goes through a fitted logistic curve.
-
-Weights are learned. From at most ``CLASS_ROWS`` labelled documents per class, word stems (whole
+clause end) with weights; five clause transducers, composed into one machine, then read the symbols.
+The insult transducer marks insults that are said of a target named before them, the threat
+transducer threats whose verb is followed by a target; the reported-speech, negation and target
+transducers scale what lies in their reach. So every harm has one of four forms, each with a factor
+of its own. A clause is matched if it holds a harm and at least one more word; a word alone between
+two clause ends is not. The sum over matched clauses goes through a fitted logistic curve.
+
+Weights, the factors of the forms and the curve are learned. From at most ``CLASS_ROWS`` labelled documents per class, word stems (whole
 words and prefixes) are kept that occur in toxic documents far more often than chance allows,
 weighted by their smoothed log odds. Occurrences in toxic documents count once per preceding word,
 so that copies of one document are one piece of evidence. Seed words carry a weight until the
-sample speaks for or against them.
+sample speaks for or against them. The factor of a form is the log odds of documents that hold it,
+relative to those of documents that hold any harm; forms that few documents hold keep theirs.
 
 Edge cases: a null or empty text matches no clause and gets the score of a text without harm;
 labels other than 0 and 1 are not learned from; without training rows of both classes the seeds
-and a default curve are used; rows that share an id are scored each for itself; an empty table
-gives no rows.
+and a default curve are used; rows that share an id are scored each for itself, and the least of
+their texts is learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +44,14 @@ EVIDENCE = 14.0
 LEAST_WEIGHT = 2.5
 SEED_WEIGHT = 2.0
 
-OTHER, TARGET, NEGATION, REPORT, END, INSULT, THREAT = range(7)
-SYMBOLS = range(7)
+OTHER, TARGET, NEGATION, REPORT, END, INSULT, THREAT, SAID_INSULT, AIMED_THREAT = range(9)
+SYMBOLS = range(9)
+# What a harm can be when all transducers have read it, and its factor until the sample speaks.
+FORMS = (INSULT, THREAT, SAID_INSULT, AIMED_THREAT)
+FACTORS = (1.0, 0.5, 1.0, 1.5)
+# Documents that must hold a form before its factor is learned, and the range of learned factors.
+FORM_DOCUMENTS = 20
+LEAST_FACTOR, MOST_FACTOR = 0.25, 4.0
 
 SEEDS = {
     INSULT: "idiot moron stupid loser trash scum worthless pathetic disgusting clown fool imbecile dumb "
@@ -75,13 +84,35 @@ def window(opener: int, length: int, factor: float) -> Transducer:
     for left in range(1, length + 1):
         otherwise[left] = left - 1
         arcs[left, END] = (0, END, 1.0)
-        for harm in (INSULT, THREAT):
+        for harm in FORMS:
             arcs[left, harm] = (left - 1, harm, factor)
     for left in range(length + 1):
         arcs[left, opener] = (length, opener, 1.0)
     return Transducer(0, arcs, otherwise)
 
 
+def insult_clause(reach: int) -> Transducer:
+    """Marks insults at most ``reach`` symbols after a target of the same clause: said of it."""
+    arcs, otherwise = {(0, TARGET): (reach, TARGET, 1.0)}, {0: 0}
+    for left in range(1, reach + 1):
+        otherwise[left] = left - 1
+        arcs[left, END] = (0, END, 1.0)
+        arcs[left, TARGET] = (reach, TARGET, 1.0)
+        arcs[left, INSULT] = (left - 1, SAID_INSULT, 1.0)
+    return Transducer(0, arcs, otherwise)
+
+
+def threat_clause(reach: int) -> Transducer:
+    """Completes a threat: a target at most ``reach`` symbols after the verb, in the same clause."""
+    arcs, otherwise = {(0, THREAT): (reach, THREAT, 1.0)}, {0: 0}
+    for left in range(1, reach + 1):
+        otherwise[left] = left - 1
+        arcs[left, END] = (0, END, 1.0)
+        arcs[left, THREAT] = (reach, THREAT, 1.0)
+        arcs[left, TARGET] = (0, AIMED_THREAT, 1.0)
+    return Transducer(0, arcs, otherwise)
+
+
 def compose(first: Transducer, second: Transducer) -> Transducer:
     """The machine that hands what ``first`` writes to ``second``, with factors multiplied."""
     arcs, states, todo = {}, set(), [(first.start, second.start)]
@@ -99,11 +130,15 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 
 def grammar() -> Transducer:
-    """Reported speech, negation and target windows, composed."""
+    """Reported speech, negation and target windows, then insult and threat clauses, composed.
+
+    The windows come first, since a completed threat takes the place of its target.
+    """
     reported = window(REPORT, 8, 0.5)
     negated = window(NEGATION, 3, 0.2)
     targeted = window(TARGET, 4, 1.5)
-    return compose(compose(reported, negated), targeted)
+    windows = compose(compose(reported, negated), targeted)
+    return compose(compose(windows, insult_clause(8)), threat_clause(3))
 
 
 GRAMMAR = grammar()
@@ -145,29 +180,43 @@ class ToxicGrammar:
     lexicon: Lexicon
     slope: float = 2.0
     intercept: float = -3.0
+    factors: tuple[float, ...] = FACTORS
 
     def __post_init__(self):
         self.tokens = Memo(self.lexicon.read)
 
-    def clauses(self, text: bytes) -> list[float]:
-        """Scores of the clauses that match."""
+    def forms(self, text: bytes) -> list[list[float]]:
+        """Per matched clause the weight of its harms in each of the ``FORMS``."""
         tokens = list(map(self.tokens.__getitem__, text.split()))
         self.tokens.trim()
         if not any(token[1] for token in tokens):
             return []
-        matched, score, state = [], 0.0, GRAMMAR.start
-        for symbol, weight, ends in tokens:
-            state, _, factor = GRAMMAR.arcs[state, symbol]
-            score += weight * factor
+        matched, state = [], GRAMMAR.start
+        sums, words, verb = [0.0] * len(FORMS), 0, 0.0
+        for symbol, weight, ends in [*tokens, (END, 0.0, True)]:
+            state, written, factor = GRAMMAR.arcs[state, symbol]
+            words += symbol != END
+            if written == AIMED_THREAT:
+                sums[FORMS.index(THREAT)] -= verb
+                sums[FORMS.index(AIMED_THREAT)] += verb
+            elif written in FORMS:
+                sums[FORMS.index(written)] += weight * factor
+                verb = weight * factor if written == THREAT else verb
             if ends:
                 state, _, _ = GRAMMAR.arcs[state, END]
-                if score:
-                    matched.append(score)
-                score = 0.0
-        return [*matched, score] if score else matched
+                if any(sums):
+                    if words > 1:
+                        matched.append(sums)
+                    sums = [0.0] * len(FORMS)
+                words = 0
+        return matched
+
+    def clauses(self, text: bytes) -> list[float]:
+        """Scores of the clauses that match."""
+        return [sum(map(float.__mul__, sums, self.factors)) for sums in self.forms(text)]
 
-    def harm(self, text: bytes) -> float:
-        return float(np.log1p(sum(self.clauses(text))))
+    def harm(self, clauses: list[float]) -> float:
+        return float(np.log1p(sum(clauses)))
 
     def probability(self, harm: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * harm + self.intercept, -700, 700)))
@@ -246,15 +295,33 @@ def fit_curve(harm: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> tuple
     return float(beta[0]), float(beta[1])
 
 
+def fit_factors(held: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
+    """Factors of the forms; ``held`` has a line per document, which forms it holds."""
+
+    def odds(holds: np.ndarray) -> float:
+        toxic, clean = (np.count_nonzero(holds[label == cls]) for cls in (1, 0))
+        return float(np.log((toxic + 0.5) / (np.count_nonzero(label == 1) + 1)) - np.log((clean + 0.5) / (np.count_nonzero(label == 0) + 1)))
+
+    usual = odds(held.any(1))
+    if usual <= 0:
+        return FACTORS
+    return tuple(
+        float(np.clip(odds(holds) / usual, LEAST_FACTOR, MOST_FACTOR)) if np.count_nonzero(holds) >= FORM_DOCUMENTS else factor
+        for holds, factor in zip(held.T, FACTORS, strict=True)
+    )
+
+
 def training_sample(
     documents: DataFrame, labels: DataFrame, is_training: Column, label_column: str, id_column: str, class_rows: int
 ) -> DataFrame:
-    """Texts of at most ``class_rows`` labelled documents per class, those of least hashed id."""
+    """Texts of at most ``class_rows`` labelled documents per class, those of least hashed id;
+    rows that share an id count as the one of least text."""
     known = labels.select(F.col(id_column).cast("bigint").alias("id"), F.col(label_column).cast("int").alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & is_training).distinct()
     order = F.xxhash64("id"), F.col("id")
     chosen = [known.filter(F.col("label") == cls).orderBy(*order).limit(class_rows) for cls in (0, 1)]
-    return documents.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
+    found = documents.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
+    return found.groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
 def fit_grammar(
@@ -265,20 +332,23 @@ def fit_grammar(
     id_column: str = "doc_id",
     class_rows: int = CLASS_ROWS,
 ) -> ToxicGrammar:
-    """Learn lexicon and curve; ``documents`` holds ``(id, text)``. The sample is bounded, and so
+    """Learn lexicon, factors and curve; ``documents`` holds ``(id, text)``. The sample is bounded, and so
     is what is learned from it."""
     sample = training_sample(documents, labels, is_training, label_column, id_column, class_rows)
     model = ToxicGrammar(learn_lexicon(sample))
 
-    def harms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [model.harm(text) for text in byte_strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(values, pa.float64())], names=["label", "harm"])
+            found = [np.array(model.forms(text)).reshape(-1, len(FORMS)).sum(0) for text in byte_strings(batch.column("text"))]
+            sums = pa.array([sums.tolist() for sums in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), sums], names=["label", "forms"])
 
-    measured = sample.select("label", "text").mapInArrow(harms, "label int, harm double").toPandas()
+    measured = sample.select("label", "text").mapInArrow(measure, "label int, forms array<double>").toPandas()
     if measured["label"].nunique() == 2:
         label = measured["label"].to_numpy(np.float64)
-        model.slope, model.intercept = fit_curve(measured["harm"].to_numpy(), label)
+        sums = np.stack(measured["forms"].to_numpy())
+        model.factors = fit_factors(sums > 0, label)
+        model.slope, model.intercept = fit_curve(np.log1p(sums @ np.array(model.factors)), label)
     return model
 
 
@@ -303,7 +373,7 @@ def score_texts(model: ToxicGrammar, rows: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clauses = [model.clauses(text) for text in byte_strings(batch.column("text"))]
-            harm = np.log1p(np.array([sum(found) for found in clauses], np.float64))
+            harm = np.array([model.harm(found) for found in clauses], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(model.probability(harm)), pa.array([len(found) for found in clauses], pa.int32())],
                 names=["doc_id", "score", "n_clauses"],

@@ -78,8 +78,17 @@ GRAMMAR = pattern_grammar.ToxicGrammar(pattern_grammar.Lexicon({"idiot$": 4.0, "
         ("you idiot!", [6.0]),
         ("you are not an idiot.", [4.0 * 1.5 * 0.2]),
         ("she said he is an idiot.", [4.0 * 1.5 * 0.5]),
-        ("no, fine. idiot", [4.0]),
-        ("zorkian zorks; kill", [4.0, 3.0]),
+        ("no, fine. idiot", []),
+        ("idiot", []),
+        ("you. idiot. you", []),
+        ("no, fine. an idiot", [4.0]),
+        ("zorkian zorks; kill", [4.0]),
+        ("zorkian zorks; to kill", [4.0, 3.0 * 0.5]),
+        ("you kill", [3.0 * 1.5 * 0.5]),
+        ("i will kill you", [3.0 * 1.5]),
+        ("i will kill. you see", [3.0 * 0.5]),
+        ("kill one two three you", [3.0 * 0.5]),
+        ("i will not kill you", [3.0 * 0.2 * 1.5]),
         ("not one two three four idiot", [4.0]),
     ],
 )
@@ -87,6 +96,69 @@ def test_clauses(text, scores):
     assert GRAMMAR.clauses(text.encode()) == pytest.approx(scores)
 
 
+def plain_score(text, weights, factors, slope, intercept):
+    """The rules word by word: what stands before a harm or behind a verb in its own clause."""
+    symbols = pattern_grammar.Lexicon(weights)
+    read = [symbols.read(token) for token in text.split()]
+    clauses, held = [], []
+    for token in read:
+        held.append(token)
+        if token[2]:
+            clauses, held = [*clauses, held], []
+    total = 0.0
+    for clause in [*clauses, held]:
+        kinds = [token[0] for token in clause]
+        near = lambda kind, place, reach: kind in kinds[max(0, place - reach) : place]
+        if len(clause) < 2:
+            continue
+        for place, (kind, weight, _) in enumerate(clause):
+            if kind not in (pattern_grammar.INSULT, pattern_grammar.THREAT):
+                continue
+            weight *= 0.5 if near(pattern_grammar.REPORT, place, 8) else 1.0
+            weight *= 0.2 if near(pattern_grammar.NEGATION, place, 3) else 1.0
+            weight *= 1.5 if near(pattern_grammar.TARGET, place, 4) else 1.0
+            if kind == pattern_grammar.INSULT:
+                form = pattern_grammar.SAID_INSULT if near(pattern_grammar.TARGET, place, 8) else pattern_grammar.INSULT
+            else:
+                behind = kinds[place + 1 : place + 4]
+                seen = [other for other in behind if other in (pattern_grammar.TARGET, pattern_grammar.THREAT)]
+                form = pattern_grammar.AIMED_THREAT if seen[:1] == [pattern_grammar.TARGET] else pattern_grammar.THREAT
+            total += weight * factors[pattern_grammar.FORMS.index(form)]
+    return 1 / (1 + np.exp(-(slope * np.log1p(total) + intercept)))
+
+
+def test_scores_equal_the_plain_rules(spark):
+    """Every row of a table of sentences, with learned weights, factors and curve."""
+    rng = np.random.default_rng(3)
+    words = "idiot kill you he not said zork a b c d. e! destroy them nobody wrote".split()
+    rows = [(doc_id, " ".join(rng.choice(words, rng.integers(0, 40)))) for doc_id in range(400)]
+    marked = [(doc_id, int("zork" in text or "kill you" in text)) for doc_id, text in rows]
+    documents = spark.createDataFrame(rows, "id bigint, text string")
+    model = pattern_grammar.fit_grammar(documents, spark.createDataFrame(marked, "doc_id bigint, toxic int"), F.lit(True))
+    assert model.factors != pattern_grammar.FACTORS
+    found = {row.doc_id: row.score for row in pattern_grammar.score_texts(model, documents).collect()}
+    for doc_id, text in rows:
+        expected = plain_score(text.encode(), model.lexicon.weights, model.factors, model.slope, model.intercept)
+        assert found[doc_id] == pytest.approx(expected, rel=1e-9)
+
+
+def test_insults_and_threats_are_not_alike():
+    weights = {"idiot$": 3.0, "kill$": 3.0}
+    model = pattern_grammar.ToxicGrammar(pattern_grammar.Lexicon(weights))
+    for insult, threat in ((b"you idiot there", b"you kill there"), (b"the idiot you", b"the kill you")):
+        assert model.clauses(insult) != model.clauses(threat)
+
+
+def test_factors_follow_the_documents_that_hold_a_form():
+    label = np.repeat([1.0, 0.0], 100)
+    held = np.zeros((200, 4), bool)
+    held[:80, 0], held[100:130, 0] = True, True
+    held[:40, 2] = True
+    factors = pattern_grammar.fit_factors(held, label)
+    assert factors[0] == pytest.approx(1.0) and factors[2] > 1.0
+    assert factors[1] == pattern_grammar.FACTORS[1] and factors[3] == pattern_grammar.FACTORS[3]
+
+
 def test_composition_equals_running_the_machines_in_turn():
     first = pattern_grammar.window(pattern_grammar.REPORT, 8, 0.5)
     second = pattern_grammar.window(pattern_grammar.NEGATION, 3, 0.2)
@@ -116,3 +188,6 @@ def test_training_sample_is_bounded(spark):
     labels = spark.range(100).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
     sample = pattern_grammar.training_sample(rows, labels, F.lit(True), "toxic", "doc_id", 10)
     assert sorted(row["count"] for row in sample.groupBy("label").count().collect()) == [10, 10]
+    shared = spark.range(100).selectExpr("5L AS id", "concat('x', id) AS text")
+    sample = pattern_grammar.training_sample(shared, labels, F.lit(True), "toxic", "doc_id", 60)
+    assert [tuple(row) for row in sample.select("id", "text").collect()] == [(5, "x0")]
