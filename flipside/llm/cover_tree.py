@@ -2,8 +2,11 @@
 
 Vectors are dealt at random to blocks of bounded size; every block of queries meets every block
 of data, as a stated query set does, and each meeting is one small task. There both sides are
-indexed by cover trees: a node is a center, its covering radius and the nodes below, which cover
-it at half the radius where a few can, and else halve it along its widest axis. A pair of nodes is left out when no pair of points below them
+indexed by cover trees: a node is covered from one of its points; the nodes below it belong to points more than a
+smaller scale apart that cover it within that scale. The scale is half the node's radius where a few points can cover it
+so, a larger share where they cannot (vectors of many dimensions lie at nearly equal distances), and at the largest
+share a level takes as many points as it needs. Small covers share a leaf. For the bounds a node keeps the tight ball
+around the mean of its points. A pair of nodes is left out when no pair of points below them
 can beat the worst kth score of its query group so far:
 
     <q, p> <= <cq, cp> + |cq| rp + |cp| rq + rq rp
@@ -12,8 +15,8 @@ where ``c`` are centers and ``r`` radii. Pairs with the largest bounds are opene
 ``k`` of each meeting are merged by rank. Integer scores are exact; a bound is compared with room
 for rounding.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
-null id; vectors of unequal length have no inner product and are matched only within their
+Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; a row with a
+null id is a candidate, after all others of its score; vectors of unequal length have no inner product and are matched only within their
 length; equal scores are ranked by id, and rows that share an id are candidates and queries of their own; an empty table gives no rows.
 """
 
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ from flipside.session import materialize
 
 BLOCK_ROWS = 8192
 LEAF_ROWS = 64
+# Points that may cover a node at a smaller share of its radius, and the shares, smallest first.
 MAX_CENTERS = 32
+SHARES = (0.5, 0.65, 0.8, 0.9, 0.95)
 LOWEST = -(1 << 62)
 
 FOUND_SCHEMA = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
@@ -39,7 +45,10 @@ FOUND_SCHEMA = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
 
 @dataclass
 class Tree:
-    """Nodes as arrays, the root first; children follow each other, leaves are slices of ``rows``."""
+    """Nodes as arrays, the root first; children follow each other, leaves are slices of ``rows``.
+
+    ``scales`` is the distance within which a node's children cover it, 0 for a leaf.
+    """
 
     centers: np.ndarray
     radii: np.ndarray
@@ -48,29 +57,57 @@ class Tree:
     n_children: np.ndarray
     first_row: np.ndarray
     n_rows: np.ndarray
+    scales: np.ndarray
     rows: np.ndarray
 
 
-def cover(points: np.ndarray, radius: float, start: int) -> np.ndarray | None:
-    """For each point the nearest of greedy centers, all within ``radius``; none if that takes
-    more than ``MAX_CENTERS``."""
-    owner = np.full(len(points), -1)
-    nearest = np.full(len(points), np.inf)
-    center = start
-    for number in range(MAX_CENTERS):
-        distance = np.sqrt(((points - points[center]) ** 2).sum(1))
-        closer = (distance <= radius) & (distance < nearest)
-        owner[closer] = number
-        nearest[closer] = distance[closer]
-        left = np.flatnonzero(owner < 0)
-        if not len(left):
-            return owner
+def cover(points: np.ndarray, distance: np.ndarray, scale: float, most: int) -> tuple[np.ndarray, list[int]] | None:
+    """For each point the nearest of greedy centers within ``scale`` and the centers, which lie further
+    apart than that; none if it takes more than ``most``. The first point is a center, ``distance`` those from it."""
+    owner = np.where(distance <= scale, 0, -1)
+    nearest = np.where(distance <= scale, distance, np.inf)
+    centers = [0]
+    while len(left := np.flatnonzero(owner < 0)):
+        if len(centers) == most:
+            return None
         center = int(left[0])
-    return None
+        far = np.sqrt(((points - points[center]) ** 2).sum(1))
+        closer = (far <= scale) & (far < nearest)
+        owner[closer], nearest[closer] = len(centers), far[closer]
+        centers.append(center)
+    return owner, centers
+
+
+def split(points: np.ndarray, rows: np.ndarray, leaf_rows: int) -> tuple[float, list[np.ndarray]]:
+    """Scale and covers of ``rows``, each headed by its center; none if they are one place."""
+    held = points[rows]
+    distance = np.sqrt(((held - held[0]) ** 2).sum(1))
+    radius = float(distance.max())
+    if not radius:
+        return 0.0, []
+    for share in SHARES:
+        most = MAX_CENTERS if share < SHARES[-1] else len(rows)
+        if found := cover(held, distance, share * radius, most):
+            break
+    owner, centers = found
+    ranked = np.argsort(owner, kind="stable")
+    covers = np.split(rows[ranked], np.cumsum(np.bincount(owner, minlength=len(centers)))[:-1])
+    # Centers come first in their covers, since earlier points of a cover may be nearer to another.
+    covers = [np.concatenate(([rows[center]], part[part != rows[center]])) for center, part in zip(centers, covers, strict=True)]
+    parts = [part for part in covers if len(part) > leaf_rows]
+    shared: list[np.ndarray] = []
+    for part in sorted((part for part in covers if len(part) <= leaf_rows), key=len, reverse=True):
+        if shared and sum(map(len, shared)) + len(part) > leaf_rows:
+            parts.append(np.concatenate(shared))
+            shared = []
+        shared.append(part)
+    if shared:
+        parts.append(np.concatenate(shared))
+    return share * radius, parts
 
 
 def cover_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """Split nodes by covers of half their radius until they hold ``leaf_rows`` points or one place."""
+    """Split nodes by covers until they hold ``leaf_rows`` points or one place."""
     points = points.astype(np.float64)
     nodes: list[list] = []
     queue = [np.arange(len(points))]
@@ -78,32 +115,25 @@ def cover_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
     placed = 0
     while len(nodes) < len(queue):
         rows = queue[len(nodes)]
+        queue[len(nodes)] = None
         center = points[rows].mean(0)
-        distance = np.sqrt(((points[rows] - center) ** 2).sum(1))
-        radius = float(distance.max())
-        node = [center, radius, 0, 0, 0, len(rows)]
-        nodes.append(node)
-        owner = cover(points[rows], radius / 2, int(distance.argmax())) if len(rows) > leaf_rows else None
-        if len(rows) <= leaf_rows or (owner is not None and not owner.any()):  # few points, or one place
-            node[4] = placed
+        radius = float(np.sqrt(((points[rows] - center) ** 2).sum(1)).max())
+        scale, parts = split(points, rows, leaf_rows) if len(rows) > leaf_rows else (0.0, [])
+        if parts:
+            nodes.append([center, radius, len(queue), len(parts), 0, len(rows), scale])
+            queue.extend(parts)
+        else:
+            nodes.append([center, radius, 0, 0, placed, len(rows), scale])
             order.append(rows)
             placed += len(rows)
-            continue
-        if owner is not None:
-            parts = [part for number in range(owner.max() + 1) if len(part := rows[owner == number])]
-        else:
-            axis = int(np.ptp(points[rows], axis=0).argmax())
-            ranked = rows[np.argsort(points[rows, axis], kind="stable")]
-            parts = [ranked[: len(ranked) // 2], ranked[len(ranked) // 2 :]]
-        node[2], node[3] = len(queue), len(parts)
-        queue.extend(parts)
     columns = list(zip(*nodes, strict=True))
     centers = np.array(columns[0])
     return Tree(
         centers,
         np.array(columns[1]),
         np.sqrt((centers**2).sum(1)),
-        *(np.array(column, np.int64) for column in columns[2:]),
+        *(np.array(column, np.int64) for column in columns[2:6]),
+        np.array(columns[6]),
         np.concatenate(order),
     )
 
@@ -187,16 +217,19 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def block_search(k: int):
     def search(queries: pa.Table, data: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = []
         if queries.num_rows and data.num_rows:
-            query_ids, data_ids = queries.column("id").to_numpy(), data.column("id").to_numpy()
+            query_ids, data_ids = queries.column("id"), data.column("id")
+            # Ids are searched by their rank, null behind all others.
+            by_id = pa.compute.sort_indices(data_ids, null_placement="at_end").to_numpy()
+            ranks = np.empty(len(by_id), np.int64)
+            ranks[by_id] = np.arange(len(by_id))
             query_rows, data_rows = queries.column("row").to_numpy(), data.column("row").to_numpy()
             asked, offered = matrix(queries.column("vector")), matrix(data.column("vector"))
-            scores, ids = dual_search(asked, query_rows, offered, data_rows, data_ids, k)
+            scores, found_ranks = dual_search(asked, query_rows, offered, data_rows, ranks, k)
             line, place = np.nonzero(scores > LOWEST)
-            found = [query_ids[line], query_rows[line], ids[line, place], scores[line, place]]
+            found = [query_ids.take(line), query_rows[line], data_ids.take(by_id[found_ranks[line, place]]), scores[line, place]]
         else:
-            found = [np.zeros(0, np.int64)] * 4
+            found = [pa.array([], pa.int64())] * 4
         return pa.table(dict(zip(("query_id", "query_row", "vec_id", "score"), found, strict=True)))
 
     return search
@@ -206,7 +239,7 @@ def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale
     """``(id, vector)`` in whole numbers ``floor(scale * x)``, without unusable rows."""
     numbers = F.col(vector_column).cast("array<double>")
     whole = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & (F.size(numbers) > 0) & F.coalesce(whole, F.lit(False))
+    usable = F.col(vector_column).isNotNull() & (F.size(numbers) > 0) & F.coalesce(whole, F.lit(False))
     return vectors.filter(usable).select(
         F.col(id_column).cast("bigint").alias("id"),
         F.transform(numbers, lambda x: F.floor(x * scale).cast("bigint")).alias("vector"),
@@ -238,6 +271,6 @@ def top_inner_products(
     asked = asked.withColumn("data_block", to_all(data_blocks))
     meeting = ["dims", "data_block", "query_block"]
     found = asked.groupBy(*meeting).cogroup(data.groupBy(*meeting)).applyInArrow(block_search(k), FOUND_SCHEMA)
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
