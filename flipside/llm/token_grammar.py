@@ -8,7 +8,8 @@ so that a lost executor leaves no half-written file and a reader finds the shard
 by the columns.
 
 Edge cases: a null text is empty and holds only the end id; null ids come first and stay null;
-rows that share an id are ordered by their text; an empty table gives no shards and no rows.
+rows that share an id are ordered by the first 64 characters of their text, then in any order, and
+lie in as many ranges as they need; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -183,17 +184,33 @@ def build_grammar(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols.astype(np.uint32)
 
 
+def passes(base: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of the rules that use no symbol made in their own slice."""
+    newest = rules.max(1).astype(np.int64) - base if len(rules) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(newest):
+        later = newest[start:] >= start
+        stop = start + int(later.argmax()) if later.any() else len(newest)
+        yield start, stop
+        start = stop
+
+
+def rule_spans(base: int, rules: np.ndarray) -> np.ndarray:
+    """How many ids each rule expands to."""
+    spans = np.ones(base + len(rules), np.uint32)
+    for start, stop in passes(base, rules):
+        spans[base + start : base + stop] = spans[rules[start:stop]].sum(1, dtype=np.uint32)
+    return spans[base:]
+
+
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None], min_count: int) -> bytes:
     base, rules, symbols = build_grammar(ids, min_count)
-    spans = np.ones(base + len(rules), np.uint32)
-    for number, (first, second) in enumerate(rules.tolist(), base):
-        spans[number] = spans[first] + spans[second]
     missing = np.array([doc_id is None for doc_id in doc_ids], np.uint8)
     return b"".join(
         [
             HEADER.pack(MAGIC, base, len(rules), len(symbols), len(doc_ids), len(ids)),
             rules.astype("<u4").tobytes(),
-            spans[base:].astype("<u4").tobytes(),
+            rule_spans(base, rules).astype("<u4").tobytes(),
             symbols.astype("<u4").tobytes(),
             np.array([doc_id or 0 for doc_id in doc_ids], "<i8").tobytes(),
             missing.tobytes(),
@@ -203,7 +220,8 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None],
 
 
 class Shard:
-    """A decoded index over one shard file; ``ids`` expands any range of it."""
+    """An index over one shard file; ``ids`` expands any range of it, and of the rules only what
+    lies in that range. ``expanded`` counts the rules followed so far."""
 
     def __init__(self, payload: bytes):
         magic, self.base, n_rules, n_symbols, n_docs, self.n_tokens = HEADER.unpack_from(payload)
@@ -226,18 +244,7 @@ class Shard:
         self.doc_starts = np.concatenate(([0], np.cumsum(take("<i8", n_docs))))
         self.lengths = np.concatenate((np.ones(self.base, np.int64), spans.astype(np.int64)))
         self.ends = np.cumsum(self.lengths[self.symbols])
-        self._expand_rules()
-
-    def _expand_rules(self) -> None:
-        """All expansions in one array; a terminal expands to itself."""
-        self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
-        self.expansions = np.zeros(int(self.lengths.sum()), np.uint32)
-        self.expansions[: self.base] = np.arange(self.base, dtype=np.uint32)
-        for number, (first, second) in enumerate(self.rules.tolist(), self.base):
-            start, middle = self.offsets[number], self.offsets[number] + self.lengths[first]
-            for symbol, at in ((first, start), (second, middle)):
-                source = self.offsets[symbol]
-                self.expansions[at : at + self.lengths[symbol]] = self.expansions[source : source + self.lengths[symbol]]
+        self.expanded = 0
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` up to ``stop`` of the shard."""
@@ -246,11 +253,19 @@ class Shard:
         first = int(np.searchsorted(self.ends, start, "right"))
         last = int(np.searchsorted(self.ends, stop, "left")) + 1
         symbols = self.symbols[first:last]
-        lengths = self.lengths[symbols]
-        before = np.cumsum(lengths) - lengths
-        places = np.repeat(self.offsets[symbols] - before, lengths) + np.arange(int(lengths.sum()))
-        skipped = start - (int(self.ends[first]) - int(lengths[0]))
-        return self.expansions[places][skipped : skipped + stop - start]
+        places = self.ends[first:last] - self.lengths[symbols]
+        found = np.empty(stop - start, np.uint32)
+        while len(symbols):
+            inside = (places < stop) & (places + self.lengths[symbols] > start)
+            if not inside.all():
+                symbols, places = symbols[inside], places[inside]
+            ready = symbols < self.base
+            found[places[ready] - start] = symbols[ready]
+            pairs, places = self.rules[symbols[~ready] - self.base], places[~ready]
+            self.expanded += len(pairs)
+            symbols = pairs.T.ravel()
+            places = np.concatenate((places, places + self.lengths[pairs[:, 0]]))
+        return found
 
 
 def shard_writer(tokenizer: str, end_id: int, shard_tokens: int, min_count: int):
@@ -314,12 +329,18 @@ def write_token_shards(
     shard_tokens: int = SHARD_TOKENS,
     min_count: int = MIN_COUNT,
 ) -> None:
-    """Encode all documents and write them in ascending order of their id below ``path``."""
+    """Encode all documents and write them in ascending order of their id below ``path``.
+
+    Ranges are cut by the id, the head of the text and a hash of the row, so that rows of one id,
+    copies among them, need not lie in one range.
+    """
     rows = texts(documents, id_column, text_column)
     ranges = pieces_for(total_bytes(rows), RANGE_BYTES)
     (
-        rows.repartitionByRange(ranges, "id")
-        .sortWithinPartitions("id", "text")
+        rows.withColumn("head", F.substring("text", 1, 64))
+        .withColumn("tie", F.xxhash64("text", F.monotonically_increasing_id()))
+        .repartitionByRange(ranges, "id", "head", "tie")
+        .sortWithinPartitions("id", "head", "tie")
         .mapInArrow(shard_writer(tokenizer, end_id, shard_tokens, min_count), SHARD_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)

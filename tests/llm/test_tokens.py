@@ -72,6 +72,45 @@ def test_production_grammar_replaces_pairs_that_occur_three_times():
     assert (shard.ids(0, len(ids)) == ids).all() and (shard.ids(1234, 30_000) == ids[1234:30_000]).all()
 
 
+def test_a_range_expands_only_its_own_rules():
+    """Random access: a short range of a shard follows few of the rules that the whole shard needs."""
+    rng = np.random.default_rng(8)
+    phrases = [rng.integers(0, 500, 40) for _ in range(60)]
+    ids = np.concatenate([phrases[number] for number in rng.integers(0, 60, 2000)]).astype(np.uint32)
+    payload = token_grammar.pack_shard(ids, np.array([len(ids)]), [7], token_grammar.MIN_COUNT)
+    whole, piece = token_grammar.Shard(payload), token_grammar.Shard(payload)
+    assert whole.expanded == 0
+    assert (whole.ids(0, len(ids)) == ids).all()
+    for start in (0, 12_345, len(ids) - 50):
+        before = piece.expanded
+        assert (piece.ids(start, start + 50) == ids[start : start + 50]).all()
+        assert piece.expanded - before < 50 + 2 * 64 < whole.expanded / 100
+
+
+def test_spans_of_rules_equal_their_expansions():
+    ids = np.random.default_rng(3).integers(0, 12, 5000).astype(np.uint32)
+    base, rules, _ = token_grammar.build_grammar(ids, 3)
+    sizes = [1] * base
+    for first, second in rules.tolist():
+        sizes.append(sizes[first] + sizes[second])
+    assert token_grammar.rule_spans(base, rules).tolist() == sizes[base:]
+    assert [rule for start, stop in token_grammar.passes(base, rules) for rule in range(start, stop)] == list(range(len(rules)))
+
+
+def test_rows_of_one_id_fill_several_ranges(spark, tmp_path, monkeypatch):
+    """A third of all rows without an id, half of them copies: no range holds them all, none is lost."""
+    monkeypatch.setattr(token_grammar, "RANGE_BYTES", 4096)
+    rows = [(None if number % 3 == 0 else number, "copied words" if number % 2 else f"own words {number}") for number in range(3000)]
+    token_grammar.write_token_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path / "shards"), queries.WORD_BPE, 2)
+    nulls = {}
+    for row in spark.read.parquet(str(tmp_path / "shards")).collect():
+        nulls[row.part] = nulls.get(row.part, 0) + token_grammar.Shard(bytes(row.payload)).doc_ids.count(None)
+    assert sum(nulls.values()) == 1000 and max(nulls.values()) < 500
+    found = token_grammar.read_token_shards(spark, str(tmp_path / "shards")).orderBy("start").collect()
+    assert [row.doc_id for row in found] == [None] * 1000 + sorted(doc_id for doc_id, _ in rows if doc_id is not None)
+    assert [row.start for row in found[1:]] == np.cumsum([row.n_tokens for row in found])[:-1].tolist()
+
+
 def test_token_shards(spark, awkward, no_documents, tokenizer):
     path = scratch_path(spark, "test-shards")
     token_grammar.write_token_shards(awkward, path, queries.WORD_BPE, 2, shard_tokens=4000, min_count=8)
