@@ -291,6 +291,35 @@ def weights(split: str, sublinear: bool = False) -> str:
     )
 
 
+def hashed(source: str) -> str:
+    """Bucket and sign of the terms of ``source``, by the digits of their md5."""
+    return f"""hashed AS (
+  SELECT *, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 65536 AS bucket,
+         CASE WHEN contains('13579bdf', substr(md5(term), 9, 1)) THEN 1 ELSE 0 END AS negative
+  FROM {source}
+)"""
+
+
+HASHED_WEIGHTS = (
+    DOCS
+    + token_rows(PLAIN)
+    + ",\n"
+    + hashed("tf")
+    + """,
+cells AS (
+  SELECT id, split, bucket, CAST(sum(CASE WHEN negative = 1 THEN -tf ELSE tf END) AS BIGINT) AS tf
+  FROM hashed GROUP BY ALL HAVING sum(CASE WHEN negative = 1 THEN -tf ELSE tf END) <> 0
+),
+size AS (SELECT count(*) AS n FROM docs WHERE split = 'train'),
+idf AS (
+  SELECT bucket, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+  FROM cells CROSS JOIN size WHERE split = 'train' GROUP BY bucket
+)
+SELECT id, split, bucket, tf, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)), 6) AS weight
+FROM cells JOIN idf USING (bucket)"""
+)
+
+
 def block(ticket: str, cut: str) -> str:
     return f"""SELECT id, y_true, CAST(score >= {cut} AS INTEGER) AS y_pred, round(score, 6) AS score,
   'bayes_{cut}' AS model_name, '{ticket}' AS ticket FROM scores WHERE split = 'heldout'"""
@@ -504,6 +533,14 @@ SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL""",
     "tfidf_l2": weights("train"),
     "tfidf_sublinear": weights("train", sublinear=True),
     "tfidf_transform_dev": weights("dev"),
+    "hashed_tfidf": HASHED_WEIGHTS,
+    "hash_collisions": DOCS
+    + token_rows(PLAIN)
+    + ", df AS (SELECT term, count(*) AS df FROM tf WHERE split = 'train' GROUP BY term), "
+    + hashed("df")
+    + """
+SELECT bucket, count(*) AS n_terms, CAST(sum(negative) AS BIGINT) AS n_negative, max(df) AS most_df, CAST(sum(df) AS BIGINT) AS sum_df
+FROM hashed GROUP BY bucket HAVING count(*) > 1""",
     "vocab_size_by_variant": WEB_DOCS
     + token_rows(
         {

@@ -15,6 +15,7 @@ from flipside.operators import audit as A
 from flipside.operators import bayes as B
 from flipside.operators import compare as C
 from flipside.operators import features as X
+from flipside.operators import hashing as H
 from flipside.operators import metrics as M
 from flipside.operators import profile
 from flipside.operators import splits as SP
@@ -379,6 +380,17 @@ def tfidf_transform_dev(spark: SparkSession, folder: str) -> DataFrame:
     return _tfidf(spark, folder, "dev", False)
 
 
+@query
+def hashed_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    cells = H.hashed_cells(corpus(spark, folder), tokens(F.col("text")))
+    return H.hashed_tfidf(cells, H.bucket_idf(cells)).select("id", "split", "bucket", "tf", shown("weight"))
+
+
+@query
+def hash_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    return H.collisions(_fitted(spark, folder)[2])
+
+
 @query
 def vocab_size_by_variant(spark: SparkSession, folder: str) -> DataFrame:
     _, terms = variant_terms(web_corpus(spark, folder), VOCABULARY_VARIANTS)
