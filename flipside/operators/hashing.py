@@ -19,7 +19,7 @@ from flipside.functions.terms import let, term_counts
 from flipside.operators.features import smooth_idf, train_size
 from flipside.session import materialize
 
-# Buckets; a document is weighed beside an array of as many doubles.
+# Buckets; documents are weighed by an array of as many doubles.
 WIDTH = 1 << 16
 
 
@@ -42,7 +42,9 @@ def hashed_counts(words: Column, width: int = WIDTH) -> Column:
 
     Buckets are coded with their sign as the last bit, so that the two runs of a bucket are neighbours.
     """
-    codes = F.transform(words, lambda word: bucket_of(word, width) * 2 + is_negative(word))
+    # Nine digits of one md5: eight for the bucket, the last for the sign.
+    digits = F.transform(words, lambda word: hex_number(F.substring(F.md5(word.cast("binary")), 1, 9)))
+    codes = F.transform(digits, lambda n: F.shiftright(n, 4) % width * 2 + n % 2)
     bucket = lambda run: F.shiftright(run["term"], 1)
     signed = lambda run: F.when(run["term"] % 2 == 1, -run["tf"]).otherwise(run["tf"])
 
@@ -75,8 +77,8 @@ def bucket_idf(cells: DataFrame) -> DataFrame:
 def hashed_tfidf(cells: DataFrame, idf: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows ``(id, target, split, bucket, tf, weight)`` of unit length per document.
 
-    The idf of all buckets is one row with an array of ``width`` doubles, so that a document is
-    weighed and normed in its own row and no cell is shuffled.
+    The idf of all buckets is one value, an array of ``width`` doubles that no row carries, so that a document
+    is weighed and normed in its own row and no cell is shuffled.
     """
     every = idf.sparkSession.range(width).select(F.col("id").alias("bucket")).join(idf, "bucket", "left")
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "idf")))
@@ -86,16 +88,16 @@ def hashed_tfidf(cells: DataFrame, idf: DataFrame, width: int = WIDTH) -> DataFr
         value = cell["tf"] * F.get(F.col("idfs"), cell["bucket"].cast("int"))
         return F.struct(cell["bucket"].alias("bucket"), cell["tf"].alias("tf"), value.alias("x"))
 
+    def unit(known: Column) -> Column:
+        norm = F.sqrt(F.aggregate(known, F.lit(0.0), lambda total, cell: total + cell["x"] * cell["x"]))
+        share = lambda cell, n: F.struct(cell["bucket"].alias("bucket"), cell["tf"].alias("tf"), (cell["x"] / n).alias("weight"))
+        return let(norm, lambda n: F.transform(known, lambda cell: share(cell, n)))
+
     known = F.filter(F.transform("cells", weigh), lambda cell: cell["x"].isNotNull())
-    norm = F.sqrt(F.aggregate("known", F.lit(0.0), lambda total, cell: total + cell["x"] * cell["x"]))
-    weighed = (
-        cells.crossJoin(F.broadcast(table))
-        .select("id", "target", "split", known.alias("known"))
-        .select("id", "target", "split", norm.alias("norm"), F.explode("known").alias("cell"))
-    )
-    return weighed.select(
-        "id", "target", "split", "cell.bucket", "cell.tf", (F.col("cell.x") / F.col("norm")).alias("weight")
-    )
+    # Weights are made before rows: a norm beside the exploded cells is summed anew for each of them. The outer
+    # form: for the inner one Spark derives a filter that weighs every document twice.
+    weighed = cells.withColumn("idfs", table.scalar()).select("id", "target", "split", F.inline_outer(let(known, unit)))
+    return weighed.filter(F.col("bucket").isNotNull())
 
 
 def collisions(terms: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -62,3 +62,12 @@ def test_collisions_are_counted(documents):
 def test_no_documents(documents):
     cells = hashing.hashed_cells(documents.limit(0), tokens(F.col("text")), 8)
     assert hashing.hashed_tfidf(cells, hashing.bucket_idf(cells), 8).count() == 0
+
+
+def test_norms_are_summed_before_cells_become_rows(spark):
+    """Not once per cell of a document, which grows with the square of its length."""
+    documents = spark.createDataFrame([(1, 0, "train", "aa bb cc aa")], "id bigint, target int, split string, text string")
+    cells = hashing.hashed_cells(documents, tokens(F.col("text")))
+    plan = hashing.hashed_tfidf(cells, hashing.bucket_idf(cells))._jdf.queryExecution().optimizedPlan().toString()
+    above, generate, _ = plan.partition("Generate")
+    assert generate and "aggregate(" not in above.lower()
