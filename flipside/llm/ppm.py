@@ -12,10 +12,11 @@ The probabilities of all bytes in a context add up to 1.
 
 What a text needs of the model depends only on its distinct sequences of ``ORDER + 1`` bytes (grams).
 Documents are taken in blocks of bounded size: the pieces that files are read in, cut further by a
-hash of the id. Each block lists its grams and words with training counts as it is read; lists are
-added up by gram, the trie is built in partitions that hold all contexts of equal last two bytes,
-and each block's texts meet the code lengths of the block's own grams. Only the contexts of one byte
-and none, at most 65,792 counts, go through the driver.
+hash of the id. Each block lists its grams and words with training counts as it is read. Grams are
+dealt to buckets by the last two bytes of their context, and a block's grams of one bucket are one row,
+sorted and packed. The trie is built in partitions of whole buckets, which add the lists up and answer
+each with the code lengths of its grams; so a block's texts meet those of the block's own grams. Only
+the contexts of one byte and none, at most 65,792 counts, go through the driver.
 
 Edge cases: a null or empty text is its end alone; a null id is the empty text to the fold; rows that
 share an id are scored each for itself and all learned from; without training rows every byte
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import byte_slices, byte_strings, pieces_for, texts
+from flipside.llm.common import byte_slices, byte_strings, lean, lean_group, pieces_for, texts
 from flipside.session import materialize
 
 ORDER = 5
@@ -44,11 +45,15 @@ SLICE_BYTES = 1 << 20
 WINDOW = 1 << 20
 # Windows whose distinct grams are kept apart before they are added up.
 WINDOWS_APART = 16
-# Distinct grams per trie partition.
-TRIE_ROWS = 2 << 20
+# Bytes of text per trie partition, and buckets per partition, as long as they are no more than MOST_BUCKETS.
+TRIE_BYTES = 32 << 20
+BUCKETS, MOST_BUCKETS = 16, 4096
+# Listed grams that wait in a trie partition until they are added up.
+MERGE_GRAMS = 2 << 20
 
 BYTE = np.uint64(8)
-COUNTS_SCHEMA = "kind string, block bigint, gram bigint, word binary, n bigint"
+COUNTS_SCHEMA = "kind string, block bigint, bucket int, size int, grams binary, counts binary, triple bigint, word binary, n bigint"
+ANSWERS_SCHEMA = "block bigint, size int, grams binary, lengths binary"
 SCORES_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -91,9 +96,45 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
 
 
+def turned(grams: np.ndarray) -> np.ndarray:
+    """Grams with the last two bytes of the context in front, so that those of a bucket sort together."""
+    return ((grams >> 8 & 0xFFFF) << 32) | (grams >> 24 << 8) | (grams & 0xFF)
+
+
+def turned_back(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> 8 & 0xFFFFFF) << 24) | (keys >> 32 << 8) | (keys & 0xFF)
+
+
+def bucket_numbers(buckets: int) -> np.ndarray:
+    """The bucket of each pair of last context bytes."""
+    pairs = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((pairs >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the bytes of equal weight next to each other."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, size: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd"), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return packed(np.diff(keys, prepend=0))
+
+
+def unpacked_keys(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.int64, size))
+
+
 class BlockCounts:
     """Distinct grams and words of a block with their counts in its training rows; the word of no
-    bytes stands for the end."""
+    bytes stands for the end. Grams are held turned."""
 
     def __init__(self):
         self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -110,7 +151,7 @@ class BlockCounts:
         for grams, owner in Stream(lists).windows():
             learned = training[owner]
             for chosen, weight in ((grams[learned], 1), (grams[~learned], 0)):
-                found, n = np.unique(chosen, return_counts=True)
+                found, n = np.unique(turned(chosen), return_counts=True)
                 self.apart.append((found, n * weight))
             if len(self.apart) >= 2 * WINDOWS_APART:
                 self.merge()
@@ -120,50 +161,74 @@ class BlockCounts:
         self.grams, self.counts = add_up(np.concatenate(keys), np.concatenate(counts))
         self.apart = []
 
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, bucket_of: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.merge()
-        n_grams, n_words = len(self.grams), len(self.words)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.DictionaryArray.from_arrays(np.zeros(n_grams, np.int8), ["gram"]).cast(pa.string()),
-                pa.array(np.full(n_grams, block)),
-                pa.array(self.grams),
-                pa.nulls(n_grams, pa.binary()),
-                pa.array(self.counts),
-            ],
-            names=["kind", "block", "gram", "word", "n"],
-        )
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.DictionaryArray.from_arrays(np.zeros(n_words, np.int8), ["word"]).cast(pa.string()),
-                pa.array(np.full(n_words, block)),
-                pa.nulls(n_words, pa.int64()),
-                pa.array(list(self.words), pa.binary()),
-                pa.array(list(self.words.values()), pa.int64()),
-            ],
-            names=["kind", "block", "gram", "word", "n"],
-        )
-
-
-def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of each block as it is read; a block read in parts is listed in parts."""
-    open_blocks: dict[int, BlockCounts] = {}
-    piece_of: int | None = None
-    for batch in batches:
-        for part in byte_slices(batch, "text", SLICE_BYTES):
-            pieces, blocks = (part.column(name).to_numpy() for name in ("piece", "block"))
-            training = part.column("training").to_numpy(zero_copy_only=False)
-            lists = [words_of(text) for text in byte_strings(part.column("text"))]
-            for piece in dict.fromkeys(pieces.tolist()):
-                if piece != piece_of:  # the blocks of the piece before are complete
-                    for block, counts in open_blocks.items():
-                        yield from counts.rows(block)
-                    open_blocks, piece_of = {}, piece
-                for block in np.unique(blocks[pieces == piece]).tolist():
-                    own = np.flatnonzero((pieces == piece) & (blocks == block))
-                    open_blocks.setdefault(block, BlockCounts()).add([lists[place] for place in own], training[own])
-    for block, counts in open_blocks.items():
-        yield from counts.rows(block)
+        buckets = bucket_of[self.grams >> 32]
+        order = np.argsort(buckets, kind="stable")
+        numbers, starts = np.unique(buckets[order], return_index=True)
+        slices = [order[start:stop] for start, stop in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+        learned = turned_back(self.grams[self.counts > 0])
+        triples, n_words = add_up(learned & 0xFFFFFF, learned)[0], len(self.words)
+        for kind, size, columns in (
+            (
+                "gram",
+                len(slices),
+                {
+                    "bucket": numbers.astype(np.int32),
+                    "size": [len(own) for own in slices],
+                    "grams": [packed_keys(self.grams[own]) for own in slices],
+                    "counts": [packed(self.counts[own]) for own in slices],
+                },
+            ),
+            ("triple", len(triples), {"triple": triples}),
+            ("word", n_words, {"word": list(self.words), "n": list(self.words.values())}),
+        ):
+            columns |= {"kind": pa.DictionaryArray.from_arrays(np.zeros(size, np.int8), [kind]).cast(pa.string()), "block": np.full(size, block)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[field.name], field.type) if field.name in columns else pa.nulls(size, field.type) for field in COUNTS_ARROW],
+                schema=COUNTS_ARROW,
+            )
+
+
+COUNTS_ARROW = pa.schema(
+    [
+        ("kind", pa.string()),
+        ("block", pa.int64()),
+        ("bucket", pa.int32()),
+        ("size", pa.int32()),
+        ("grams", pa.binary()),
+        ("counts", pa.binary()),
+        ("triple", pa.int64()),
+        ("word", pa.binary()),
+        ("n", pa.int64()),
+    ]
+)
+
+
+def count_blocks(buckets: int):
+    """Lists the counts of each block as it is read; a block read in parts is listed in parts."""
+    bucket_of = bucket_numbers(buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_blocks: dict[int, BlockCounts] = {}
+        piece_of: int | None = None
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                pieces, blocks = (part.column(name).to_numpy() for name in ("piece", "block"))
+                training = part.column("training").to_numpy(zero_copy_only=False)
+                lists = [words_of(text) for text in byte_strings(part.column("text"))]
+                for piece in dict.fromkeys(pieces.tolist()):
+                    if piece != piece_of:  # the blocks of the piece before are complete
+                        for block, counts in open_blocks.items():
+                            yield from counts.rows(block, bucket_of)
+                        open_blocks, piece_of = {}, piece
+                    for block in np.unique(blocks[pieces == piece]).tolist():
+                        own = np.flatnonzero((pieces == piece) & (blocks == block))
+                        open_blocks.setdefault(block, BlockCounts()).add([lists[place] for place in own], training[own])
+        for block, counts in open_blocks.items():
+            yield from counts.rows(block, bucket_of)
+
+    return count
 
 
 class Level:
@@ -185,18 +250,19 @@ class Level:
             self.excluded = np.add.reduceat(shorter, self.starts)
 
     @staticmethod
-    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
         if not len(keys):
-            return np.zeros(len(wanted), np.int64)
+            return [np.zeros(len(wanted), np.int64) for _ in values]
         place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[place] == wanted, values[place], 0)
+        known = keys[place] == wanted
+        return [np.where(known, own[place], 0) for own in values]
 
     def count(self, grams: np.ndarray) -> np.ndarray:
-        return self.find(self.grams, self.counts, grams)
+        return self.find(self.grams, grams, self.counts)[0]
 
     def statistics(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Total, distinct bytes and exclusions of each context, 0 where it is unknown."""
-        return tuple(self.find(self.contexts, values, contexts) for values in (self.totals, self.distinct, self.excluded))
+        return tuple(self.find(self.contexts, contexts, self.totals, self.distinct, self.excluded))
 
 
 def code_lengths(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
@@ -219,12 +285,11 @@ def code_lengths(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return result
 
 
-def low_levels(counts: DataFrame) -> list[Level]:
+def low_levels(triples: DataFrame) -> list[Level]:
     """Orders 0 and 1, of at most 256 and 65,536 entries."""
-    last = lambda size: F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1)).alias("gram")
-    triples = counts.filter("n > 0").select(last(3)).distinct()
-    pairs = triples.groupBy(last(2)).agg(F.count("*").alias("n")).toPandas()
-    grams, n = add_up(pairs["gram"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
+    last_two = F.col("triple").bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    pairs = triples.select("triple").distinct().groupBy(last_two).agg(F.count("*").alias("n")).toPandas()
+    grams, n = add_up(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
     singles = Level(*add_up(grams & 0xFF, np.ones(len(grams), np.int64)))
     doubles = Level(grams, n)
     doubles.exclude_from(singles, 1)
@@ -233,10 +298,27 @@ def low_levels(counts: DataFrame) -> list[Level]:
 
 def trie_partition(low: list[Level]):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(batch.column("gram").to_numpy(), batch.column("n").to_numpy()) for batch in batches]
-        if not held:
+        lists: list[tuple[int, int, bytes]] = []
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        apart, waiting = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every = [(keys, n), *apart]
+            return add_up(np.concatenate([part[0] for part in every]), np.concatenate([part[1] for part in every]))
+
+        for batch in batches:
+            for block, size, grams, counts in zip(*(batch.column(name).to_pylist() for name in ("block", "size", "grams", "counts")), strict=True):
+                lists.append((block, size, grams))
+                apart.append((unpacked_keys(grams, size), unpacked(counts, np.int64, size)))
+                waiting += size
+                if waiting >= MERGE_GRAMS + len(keys):
+                    keys, n = merged()
+                    apart, waiting = [], 0
+        if not lists:
             return
-        grams, n = add_up(np.concatenate([part[0] for part in held]), np.concatenate([part[1] for part in held]))
+        keys, n = merged()
+        del apart
+        grams = turned_back(keys)
         levels: list[Level] = []
         entries = (grams[n > 0], n[n > 0])
         for order in range(ORDER, 1, -1):
@@ -245,23 +327,33 @@ def trie_partition(low: list[Level]):
         levels = low + levels
         for order in range(2, ORDER + 1):
             levels[order].exclude_from(levels[order - 1], order)
-        for start in range(0, len(grams), 1 << 18):
-            part = grams[start : start + (1 << 18)]
-            lengths = code_lengths(part, levels).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(lengths)], names=["gram", "value"])
+        step = 1 << 18
+        parts = [code_lengths(grams[start : start + step], levels).astype(np.float32) for start in range(0, len(grams), step)]
+        lengths = np.concatenate(parts)
+        del entries, levels, parts, grams
+        for block, size, listed in lists:
+            own = lengths[np.searchsorted(keys, unpacked_keys(listed, size))]
+            row = {"block": block, "size": size, "grams": listed, "lengths": packed(own)}
+            yield pa.RecordBatch.from_arrays([pa.array([row[field.name]], field.type) for field in ANSWERS_ARROW], schema=ANSWERS_ARROW)
 
     return build
 
 
+ANSWERS_ARROW = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("lengths", pa.binary())])
+
+
 def block_scorer(train_tokens: int, vocabulary: int):
     denominator = train_tokens + 0.1 * (vocabulary + 1)
 
     def score(documents: pa.Table, known: pa.Table) -> pa.Table:
-        is_gram = pa.compute.is_valid(known.column("gram"))
-        grams, words = known.filter(is_gram), known.filter(pa.compute.invert(is_gram))
-        own_grams, first = np.unique(grams.column("gram").to_numpy(), return_index=True)
-        index = pd.Index(own_grams)
-        lengths = grams.column("value").to_numpy()[first].astype(np.float64)
+        is_list = pa.compute.is_valid(known.column("grams"))
+        answers, words = known.filter(is_list), known.filter(pa.compute.invert(is_list))
+        sizes, lists, values = (answers.column(name).to_pylist() for name in ("size", "grams", "lengths"))
+        own_keys = np.concatenate([unpacked_keys(data, size) for data, size in zip(lists, sizes, strict=True)])
+        lengths = np.concatenate([unpacked(data, np.float32, size) for data, size in zip(values, sizes, strict=True)])
+        own_keys, first = np.unique(own_keys, return_index=True)
+        index = pd.Index(turned_back(own_keys))
+        lengths = lengths[first].astype(np.float64)
         counts = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
         columns: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
         for batch in documents.to_batches():
@@ -308,7 +400,9 @@ def score_documents(
     piece = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     rows = texts(documents, id_column, text_column, piece.alias("piece"))
     pieces = rows.groupBy("piece").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
-    cuts = pieces_for(pieces.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0], block_bytes)
+    largest, total = pieces.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cuts = pieces_for(largest, block_bytes)
+    parts = max(pieces_for(total, TRIE_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
     dealt = rows.select(
         "piece",
         F.xxhash64("piece", F.pmod(F.xxhash64("id", F.length("text")), F.lit(cuts))).alias("block"),
@@ -316,24 +410,15 @@ def score_documents(
         "text",
         is_training.alias("training"),
     )
-    listed = materialize(dealt.mapInArrow(count_blocks, COUNTS_SCHEMA), "ppm-counts", ("kind",))
-    grams, words = listed.filter("kind = 'gram'"), listed.filter("kind = 'word'")
-    counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    parts = pieces_for(counts.count(), TRIE_ROWS)
-    parts = max(parts, rows.sparkSession.sparkContext.defaultParallelism)
-    last_two = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    trie = counts.repartition(parts, last_two).mapInArrow(trie_partition(low_levels(counts)), "gram bigint, value float")
+    buckets = min(BUCKETS * parts, MOST_BUCKETS)
+    listed = materialize(dealt.mapInArrow(lean(count_blocks(buckets)), COUNTS_SCHEMA), "ppm-counts", ("kind",))
+    grams = listed.filter("kind = 'gram'").select("bucket", "block", "size", "grams", "counts")
+    words, low = listed.filter("kind = 'word'"), low_levels(listed.filter("kind = 'triple'"))
+    answers = grams.repartition(parts, "bucket").mapInArrow(lean(trie_partition(low)), ANSWERS_SCHEMA)
     frequencies = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     train_tokens, vocabulary = frequencies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    known_grams = grams.select("block", "gram").join(trie, "gram")
     known_words = words.select("block", "word").join(frequencies, "word")
-    needed = known_grams.select(
-        "block", "gram", "value", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("n")
-    ).unionByName(
-        known_words.select(
-            "block", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("float").alias("value"), "word", "n"
-        )
-    )
+    needed = answers.unionByName(known_words, allowMissingColumns=True)
     return (
         dealt.select("block", "id", "text", "training")
         .groupBy("block")

@@ -111,3 +111,35 @@ def test_long_streams_are_read_in_windows(monkeypatch):
 def test_held_out_texts_beat_word_frequencies(spark):
     rows = queries.QUERIES["op2_partial_matching"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(row.score for row in rows) > sum(row.base_score for row in rows)
+
+
+def test_a_block_lists_its_grams_by_bucket_and_reads_them_back():
+    """Rows grow with the buckets, not with the grams, and hold every gram with its count."""
+    lists = [document[1].encode().lower().split() for document in document_rows()[11:60]]
+    learned = np.arange(len(lists)) % 3 > 0
+    block = ppm.BlockCounts()
+    block.add(lists, learned)
+    listed, triples, words = block.rows(7, ppm.bucket_numbers(16))
+    assert listed.num_rows <= 16 and set(listed.column("bucket").to_pylist()) <= set(range(16))
+    found = Counter()
+    for row in listed.to_pylist():
+        keys = ppm.unpacked_keys(row["grams"], row["size"])
+        assert (np.diff(keys) > 0).all()
+        found.update(dict(zip(ppm.turned_back(keys).tolist(), ppm.unpacked(row["counts"], np.int64, row["size"]).tolist(), strict=True)))
+    expected = Counter()
+    for own, counts in zip(lists, learned.tolist(), strict=True):
+        padded = bytes([ppm.END]) * ppm.ORDER + b" ".join(own) + bytes([ppm.END])
+        for place in range(ppm.ORDER, len(padded)):
+            expected[int.from_bytes(padded[place - ppm.ORDER : place + 1], "big")] += int(counts)
+    assert found == expected and len(found) > 1000
+    assert set(triples.column("triple").to_pylist()) == {gram & 0xFFFFFF for gram, n in expected.items() if n}
+    assert words.num_rows == len({word for own in lists for word in own}) + 1
+
+
+def test_turned_grams_and_packed_numbers_come_back():
+    grams = np.array([0, 0x010203040506, 0xFFFFFFFFFFFF, 0x0A0A0A0A0A61], np.int64)
+    assert ppm.turned_back(ppm.turned(grams)).tolist() == grams.tolist()
+    assert (ppm.turned(grams) >> 32).tolist() == [0, 0x0405, 0xFFFF, 0x0A0A]
+    lengths = np.array([-0.25, -3.5, 0.0], np.float32)
+    assert ppm.unpacked(ppm.packed(lengths), np.float32, 3).tolist() == lengths.tolist()
+    assert ppm.unpacked_keys(ppm.packed_keys(np.zeros(0, np.int64)), 0).tolist() == []
