@@ -29,6 +29,7 @@ rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, Memo, byte_slices, byte_strings, lean, lean_group, numbered, surplus_rows, texts, unnumbered, without_rows
+from flipside.llm.common import ROW, byte_slices, byte_strings, lean, lean_group, numbered, surplus_rows, texts, unnumbered, without_rows
 from flipside.operators.joins import fits_broadcast, salted_join
 from flipside.session import materialize
 
@@ -60,30 +61,43 @@ PREFIX_SCHEMA = "shingle bigint, k1 bigint, k2 bigint, n int, rest int"
 DIGEST_SCHEMA = "kind int, id bigint, n bigint, k1 bigint, k2 bigint, bits binary"
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts."""
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text, mixed for all texts at once."""
+    lists = [text.lower().split() for text in texts]
+    ends = np.cumsum([len(words) for words in lists], dtype=np.int64).tolist()
+    # Hashing a word takes less time than looking its hash up. Digests are big-endian.
+    digests = b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(lists)))
+    del lists
+    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+    every = mixed(hashes, max(len(hashes) - WORDS + 1, 0), WORDS)
+    for start, end in zip([0, *ends], ends, strict=False):
+        if end - start >= WORDS:
+            own = np.sort(every[start : end - WORDS + 1])
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            yield own[fresh]
+        elif end > start:
+            yield mixed(hashes[start:end], 1, end - start, np.uint64(end - start))
+        else:
+            yield np.zeros(0, np.uint64)
 
-    def __init__(self):
-        self.hashes = Memo(xxhash.xxh3_64_intdigest)
 
-    def shingles(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        hashes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        self.hashes.trim()
-        if not len(words):
-            return hashes
-        if len(words) < WORDS:
-            mixed = (hashes * MULTIPLIERS[: len(words)]).sum(keepdims=True) + np.uint64(len(words))
-        else:
-            size = len(words) - WORDS + 1
-            mixed = hashes[:size] * MULTIPLIERS[0]
-            for place in range(1, WORDS):
-                mixed += hashes[place : place + size] * MULTIPLIERS[place]
-        for mixer in MIXERS:
-            mixed ^= mixed >> np.uint64(33)
-            mixed *= mixer
-        mixed ^= mixed >> np.uint64(33)
-        return np.unique(mixed)
+def batch_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The set of each text of a batch, some at a time."""
+    for piece in byte_slices(batch, "text"):
+        yield from shingle_sets(byte_strings(piece.column("text")))
+
+
+def mixed(hashes: np.ndarray, size: int, words: int, start: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """The hash of each of the first ``size`` sequences of so many words."""
+    found = np.full(size, start)
+    for place in range(words):
+        found += hashes[place : place + size] * MULTIPLIERS[place]
+    for mixer in MIXERS:
+        found ^= found >> np.uint64(33)
+        found *= mixer
+    found ^= found >> np.uint64(33)
+    return found
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -92,14 +106,12 @@ def signed(values: np.ndarray) -> pa.Array:
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document the size, digest and bitmap of its set, and the shingles many of the batch share."""
-    shingler = Shingler()
     for batch in batches:
         sets, digests, bits = [], [], []
-        for piece in byte_slices(batch, "text"):
-            for text in byte_strings(piece.column("text")):
-                sets.append(shingler.shingles(text))
-                digests.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
-                bits.append(bitmap(sets[-1]))
+        for own in batch_sets(batch):
+            sets.append(own)
+            digests.append(xxhash.xxh3_128_digest(own))
+            bits.append(bitmap(own))
         sizes = [len(own) for own in sets]
         every = np.concatenate([np.zeros(0, np.uint64), *sets])
         del sets
@@ -135,12 +147,11 @@ def prefix_batches(common: np.ndarray):
     keys = common[ranked]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, done = Shingler(), set()
+        done = set()
         for batch in batches:
             prefixes, classes, sizes = [], [], []
-            for text in byte_strings(batch.column("text")):
-                own = shingler.shingles(text)
-                digest = xxhash.xxh3_128_digest(own.tobytes())
+            for own in batch_sets(batch):
+                digest = xxhash.xxh3_128_digest(own)
                 if not len(own) or digest in done:
                     continue
                 done.add(digest)
@@ -316,7 +327,7 @@ def links_inside(members: pa.Table) -> pa.Table:
     members = members.sort_by("id")
     ids = members.column("id").to_pylist()
     tile = Tile(members.column("shingles").to_pylist())
-    left = np.arange(len(ids))
+    left, waits = np.arange(len(ids)), np.ones(len(ids), bool)
     pairs = []
     while len(left):
         star, queue, left = int(left[0]), [int(left[0])], left[1:]
@@ -324,7 +335,8 @@ def links_inside(members: pa.Table) -> pa.Table:
             reached = tile.linked(queue.pop(), left)
             pairs.extend((ids[star], ids[other]) for other in reached.tolist())
             queue.extend(reached.tolist())
-            left = np.setdiff1d(left, reached, assume_unique=True)
+            waits[reached] = False
+            left = left[waits[left]]
     return links_table(pairs)
 
 
@@ -372,9 +384,8 @@ def read_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sets of the documents ``wanted``, as little-endian 64-bit hashes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
-            sets = [shingler.shingles(text).tobytes() for text in byte_strings(batch.column("text"))]
+            sets = [own.tobytes() for own in batch_sets(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     wanted = wanted.distinct()

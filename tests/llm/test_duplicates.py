@@ -169,3 +169,14 @@ def test_drop_exact_copies(awkward):
     assert kept.columns == awkward.columns
     assert {row.doc_id for row in kept.collect()} >= {1, 4, 10, 11}
     assert 12 not in {row.doc_id for row in kept.collect()}
+
+
+def test_sets_of_many_texts_are_those_of_each_text():
+    """Texts hashed together share no shingle across their borders, and words keep no memory."""
+    texts = [b"", b"one", b"a b c d", b"A b  C\nd e", b"a b c d e", b"a b c d e a b c d e", "x\u00a0y \u00e9 \x1c z w".encode(), b" \t "]
+    together = [own.tolist() for own in ngram_join.shingle_sets(texts)]
+    assert together == [next(ngram_join.shingle_sets([text])).tolist() for text in texts]
+    assert [len(own) for own in together] == [0, 1, 1, 1, 1, 5, 1, 0]
+    assert together[3] == together[4] and set(together[4]) <= set(together[5])
+    assert all(own == sorted(set(own)) for own in together) and together[1] != together[2]
+    assert list(ngram_join.shingle_sets([])) == []

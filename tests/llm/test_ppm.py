@@ -131,7 +131,7 @@ def test_a_block_lists_its_grams_by_bucket_and_reads_them_back():
         padded = bytes([ppm.END]) * ppm.ORDER + b" ".join(own) + bytes([ppm.END])
         for place in range(ppm.ORDER, len(padded)):
             expected[int.from_bytes(padded[place - ppm.ORDER : place + 1], "big")] += int(counts)
-    assert found == expected and len(found) > 1000
+    assert dict(found) == dict(expected) and len(found) > 500
     assert set(triples.column("triple").to_pylist()) == {gram & 0xFFFFFF for gram, n in expected.items() if n}
     assert words.num_rows == len({word for own in lists for word in own}) + 1
 
