@@ -56,6 +56,15 @@ def test_grammar_leaves_no_frequent_pair():
     assert len(rules) == len({tuple(rule) for rule in rules.tolist()})
 
 
+@pytest.mark.parametrize("top", [1, 50, 1 << 34, 1 << 62])
+def test_places_sort_with_their_values(top):
+    """Values are counted as ``np.unique`` does, also where value and place do not fit into one number."""
+    values = np.random.default_rng(4).integers(0, top, 3000)
+    for own in (values, values[:1], values[:0], np.full(9, top)):
+        for found, expected in zip(token_grammar.counted(own), np.unique(own, return_inverse=True, return_counts=True), strict=True):
+            assert found.tolist() == expected.tolist()
+
+
 def test_production_grammar_replaces_pairs_that_occur_three_times():
     """A passage of rare ids, copied a few times, becomes a few rules; what is left has no pair three times."""
     random = np.random.default_rng(2)
