@@ -31,14 +31,17 @@ COUNTS = "array<struct<term: string, tf: bigint>>"
 TAB = "\t"
 
 
+def entry_texts(counts: Column) -> Column:
+    """The entries as texts, as which they are told apart by hash."""
+    return F.transform(counts, lambda e: F.concat(e["term"], F.lit(TAB), e["tf"].cast("string")))
+
+
 def signed_entries(base: Column, other: Column) -> Column:
-    """array<struct<sign, term, tf>> of what ``other`` counts differently from ``base``."""
-    # As texts, entries are told apart by hash.
-    shown = lambda counts: F.transform(counts, lambda e: F.concat(e["term"], F.lit(TAB), e["tf"].cast("string")))
+    """array<struct<sign, term, tf>> of what ``other`` counts differently from ``base``, both as entry texts."""
 
     def entries(sign: int, left: Column, right: Column) -> Column:
         return F.transform(
-            F.array_except(shown(left), shown(right)),
+            F.array_except(left, right),
             lambda e: F.struct(
                 F.lit(sign).alias("sign"),
                 F.substring_index(e, TAB, 1).alias("term"),
@@ -62,9 +65,14 @@ def delta_counts(documents: DataFrame, variants: Sequence[TextVariant]) -> DataF
         if v.tokenizer == first.tokenizer:
             counts = F.when(F.col(f"text{i}") != F.col("text0"), counts)
         counted.append(counts.alias(f"counts{i}"))
+    # A column that is used more than once is computed once, in a step of its own.
     several = texts.select("id", "target", "split", *counted)
+    several = several.select(
+        "id", "target", "split", "counts", entry_texts(F.col("counts")).alias("shown"),
+        *[entry_texts(F.col(f"counts{i}")).alias(f"shown{i}") for i in range(1, len(variants))],
+    )
     deltas = [
-        F.struct(F.lit(i).alias("place"), signed_entries(F.col("counts"), F.col(f"counts{i}")).alias("entries"))
+        F.struct(F.lit(i).alias("place"), signed_entries(F.col("shown"), F.col(f"shown{i}")).alias("entries"))
         for i in range(1, len(variants))
     ]
     changed = F.array().cast("array<struct<place: int, entries: array<struct<sign: int, term: string, tf: bigint>>>>")

@@ -45,3 +45,14 @@ def test_a_variant_s_vocabulary_size(documents):
     sizes = {r.variant: r.vocab_size for r in D.variant_totals(terms, changed, NORMALIZATION_VARIANTS).collect()}
     _, anew = variant_terms(documents, NORMALIZATION_VARIANTS)
     assert sizes == {r.variant: r["count"] for r in anew.filter("df > 0").groupBy("variant").count().collect()}
+
+
+def test_only_the_named_splits_are_scored(documents):
+    """The same scores, learned from all rows; rows of other splits get no margin."""
+    every, vocabulary = bayes_scorer(0.3)(documents, NORMALIZATION_VARIANTS)
+    some, same = bayes_scorer(0.3, ["dev", "heldout"])(documents, NORMALIZATION_VARIANTS)
+    key = lambda r: (r.variant, r.id)
+    found = {key(r): r.score for r in some.collect()}
+    assert found == pytest.approx({key(r): r.score for r in every.filter("split <> 'train'").collect()})
+    assert len(found) == 32 * len(NORMALIZATION_VARIANTS)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, vocabulary.collect()))
