@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.llm.common import ROW, byte_strings, numbered, pieces_for, texts
+from flipside.llm.common import ROW, byte_slices, byte_strings, numbered, pieces_for, texts
 from flipside.llm.word_encoder import little_endian, word_encoder
 
 CAPACITY = 2048
@@ -35,10 +35,11 @@ def piece_cutter(tokenizer: str, end_id: int, capacity: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in byte_slices(batch, "text")):
             doc_ids, numbers, starts, lengths, checks = [], [], [], [], []
-            for doc_id, text in zip(batch.column("id").to_pylist(), byte_strings(batch.column("text")), strict=True):
-                ids = memoryview(encoder.encode(text) + end)
+            encoded = encoder.encode_all(byte_strings(batch.column("text")))
+            for doc_id, text_ids in zip(batch.column("id").to_pylist(), encoded, strict=True):
+                ids = memoryview(text_ids + end)
                 for number, start in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[start : start + 4 * capacity]
                     doc_ids.append(doc_id)

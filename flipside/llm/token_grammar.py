@@ -35,6 +35,8 @@ MIN_COUNT = 3
 # Down to this count pairs are counted in tables, over the whole sequence.
 TABLE_COUNT = 256
 RANGE_BYTES = 32 << 20
+# Text encoded at once: the more, the more of its words are the same.
+ENCODED_BYTES = 8 << 20
 # Pairs looked at per pass, most frequent first.
 PASS_PAIRS = 4096
 
@@ -265,6 +267,7 @@ class Shard:
         self.doc_ids = [None if gone else number for number, gone in zip(numbers.tolist(), missing.tolist(), strict=True)]
         self.doc_starts = np.concatenate(([0], np.cumsum(take("<i8", n_docs))))
         self.lengths = np.concatenate((np.ones(self.base, np.int64), spans.astype(np.int64)))
+        self.firsts, self.seconds = self.rules.T.copy()
         self.ends = np.cumsum(self.lengths[self.symbols])
         self.expanded = 0
 
@@ -277,16 +280,20 @@ class Shard:
         symbols = self.symbols[first:last]
         places = self.ends[first:last] - self.lengths[symbols]
         found = np.empty(stop - start, np.uint32)
+        # Whether a symbol reaches over an end of the range.
+        cut = bool(((places < start) | (places + self.lengths[symbols] > stop)).any())
         while len(symbols):
-            inside = (places < stop) & (places + self.lengths[symbols] > start)
-            if not inside.all():
-                symbols, places = symbols[inside], places[inside]
+            if cut:
+                inside = (places < stop) & (places + self.lengths[symbols] > start)
+                if not inside.all():
+                    symbols, places = symbols[inside], places[inside]
             ready = symbols < self.base
             found[places[ready] - start] = symbols[ready]
-            pairs, places = self.rules[symbols[~ready] - self.base], places[~ready]
-            self.expanded += len(pairs)
-            symbols = pairs.T.ravel()
-            places = np.concatenate((places, places + self.lengths[pairs[:, 0]]))
+            rest = np.flatnonzero(~ready)
+            rules, places = symbols[rest] - self.base, places[rest]
+            self.expanded += len(rules)
+            symbols = np.concatenate((self.firsts[rules], self.seconds[rules]))
+            places = np.concatenate((places, places + self.lengths[symbols[: len(rules)]]))
         return found
 
 
@@ -314,9 +321,10 @@ def shard_writer(tokenizer: str, end_id: int, shard_tokens: int, min_count: int)
             }
             return pa.RecordBatch.from_pylist([row], SHARD_ARROW)
 
-        for piece in (piece for batch in batches for piece in byte_slices(batch, "text")):
-            for doc_id, text in zip(piece.column("id").to_pylist(), byte_strings(piece.column("text")), strict=True):
-                held.append(encoder.encode(text) + end)
+        for piece in (piece for batch in batches for piece in byte_slices(batch, "text", ENCODED_BYTES)):
+            encoded = encoder.encode_all(byte_strings(piece.column("text")))
+            for doc_id, ids in zip(piece.column("id").to_pylist(), encoded, strict=True):
+                held.append(ids + end)
                 doc_ids.append(doc_id)
                 n_tokens += len(held[-1]) // 4
                 if n_tokens >= shard_tokens:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flipside.llm import packing, prefix_table, queries, token_grammar
-from flipside.llm.word_encoder import word_encoder
+from flipside.llm.word_encoder import WordEncoder, word_encoder
 from flipside.session import scratch_path
 from tests.llm.conftest import document_rows
 
@@ -34,6 +34,28 @@ def test_word_encoder_equals_the_library(tokenizer):
         assert encoder.encode(text.encode()) == packed(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_texts_encoded_together_equal_the_library(tokenizer):
+    """Apostrophes, digits, signs and letters in any order; letters whose lower case lies far from them."""
+    random = np.random.default_rng(6)
+    letters = [chr(code) for code in [*range(0xC0, 0x130), *range(0x131, 0x240)]]
+    signs = [*"   \t\n", *"'" * 5, *"sStTrReEvVmMlLdDaz09.,-\"", "\x1c", "\0", "日"]
+    texts = ["", " ", *(f"a{letter}b" for letter in letters)]
+    texts += ["".join(random.choice(signs + letters[:8], random.integers(0, 40))) for _ in range(3000)]
+    expected = [packed(tokenizer.encode(text, add_special_tokens=False).ids) for text in texts]
+    assert word_encoder(queries.WORD_BPE).encode_all([text.encode() for text in texts]) == expected
+
+
+def test_words_of_many_texts_are_looked_up_once():
+    """Words that texts share are looked up once for all of them, and the model is asked once."""
+    encoder = WordEncoder(queries.WORD_BPE)
+    looked_up, asked, words, ids = [], [], encoder._words, encoder._ids
+    encoder._words = lambda found: looked_up.extend(found) or words(found)
+    encoder._ids = lambda found: asked.extend(found) or ids(found)
+    first = encoder.encode_all([b"one two, two\n", b"TWO one!", b"two, one"] * 50)
+    assert sorted(looked_up) == [b"!", b",", b"one", b"two"] and sorted(asked) == ["!", ",", "one", "two"]
+    assert encoder.encode_all([b"one two, two\n"]) == first[:1] and len(asked) == 4
+
+
 @pytest.mark.parametrize("ids", [[], [5], [3] * 9, [3] * 10, [1, 2] * 40, [1, 2, 3, 1, 2, 3, 3, 3, 3] * 30])
 def test_grammar_round_trip_and_ranges(ids):
     ids = np.array(ids, np.uint32)
