@@ -146,6 +146,14 @@ def bounds(queries: Tree, group: int, data: Tree, nodes: np.ndarray) -> np.ndarr
     return bound + 1e-9 * (1 + np.abs(bound))
 
 
+def row_bounds(queries: np.ndarray, data: Tree, nodes: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products between single queries and data nodes."""
+    queries, nodes = queries.astype(np.float64), nodes.astype(np.int64)
+    norms = np.sqrt((queries**2).sum(1))[:, None]
+    bound = queries @ data.centers[nodes].T + norms * data.radii[nodes]
+    return bound + 1e-9 * (1 + norms * (data.norms[nodes] + data.radii[nodes]))
+
+
 def below(tree: Tree, node: int) -> np.ndarray:
     """Leaves under a node."""
     open_nodes, leaves = [node], []
@@ -170,8 +178,8 @@ def dual_search(
     """Best ``k`` of ``data`` for each query as ``(scores, ids)``; missing ones score ``LOWEST``.
 
     Walks the query tree down to its leaves, handing the surviving data nodes from group to
-    subgroup; a leaf group opens nodes in order of their bounds until the bound falls below the
-    worst kth score of the group. A row is no candidate for itself.
+    subgroup; a leaf group opens nodes in order of their bounds for single rows, those that may hold
+    more for at least one of its rows, until the bound falls below the worst kth score of the group. A row is no candidate for itself.
     """
     query_tree, data_tree = cover_tree(queries), cover_tree(data)
     best = np.full((len(queries), k), LOWEST)
@@ -194,10 +202,14 @@ def dual_search(
             work.extend((child, nodes) for child in range(first, first + query_tree.n_children[group]))
             continue
         leaves = np.concatenate([below(data_tree, node) for node in nodes]) if len(nodes) else nodes
-        ceiling = bounds(query_tree, group, data_tree, leaves) if len(leaves) else np.zeros(0)
+        ceilings = row_bounds(queries[members], data_tree, leaves)
+        ceiling = ceilings.max(0)
         for place in np.argsort(-ceiling, kind="stable"):
-            if ceiling[place] < best[members, -1].min():
+            worst = best[members, -1]
+            if ceiling[place] < worst.min():
                 break
+            if (ceilings[:, place] < worst).all():
+                continue
             start = data_tree.first_row[leaves[place]]
             stop = start + data_tree.n_rows[leaves[place]]
             scores = np.rint(queries[members].astype(np.float64) @ ordered[start:stop].T).astype(np.int64)
